@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.operators import copy_diff
+from evalspan.operators import copy_diff, schema_drift
 from evalspan.sources.tables import table
 
 ENTRY_FIELDS = ("marker", "fluorophore", "clone", "vendor", "cat_number")
@@ -33,4 +33,19 @@ def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.col("d.kind") == "differs").select("test_case_id", "d.channel", "d.field", "d.left_value", "d.right_value")
 
 
-QUERIES = {"p5_found": p5_found, "p5_values": p5_values}
+def _context_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.fields_of(table(spark, sf_dir, "context_files"), "collection", "batch_no", "body", "$.test_case_id", "$.context")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = schema_drift.drift_report(_context_fields(spark, sf_dir))
+    return report.select("collection", F.col("batch").alias("batch_no"), "change", "old_field", "new_field")
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contexts under consistent names and types."""
+    fields = _context_fields(spark, sf_dir)
+    return schema_drift.consistent_table(fields, schema_drift.drift_report(fields)).withColumnRenamed("batch", "batch_no")
+
+
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p5_found": p5_found, "p5_values": p5_values}
