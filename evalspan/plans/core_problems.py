@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.operators import copy_diff, schema_drift
+from evalspan.operators import copy_diff, nested, schema_drift
 from evalspan.sources.tables import table
 
 ENTRY_FIELDS = ("marker", "fluorophore", "clone", "vendor", "cat_number")
@@ -48,4 +48,23 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.consistent_table(fields, schema_drift.drift_report(fields)).withColumnRenamed("batch", "batch_no")
 
 
-QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p5_found": p5_found, "p5_values": p5_values}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.gate_tables(table(spark, sf_dir, "raw_extractions")).select("record_id", "kind", "parent_path", "node_path")
+
+
+def p4_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate table with its attributes."""
+    nodes = nested.gate_tables(table(spark, sf_dir, "raw_extractions")).filter("kind = 'gate'")
+    a = F.col("attributes")
+    return nodes.select("record_id", "parent_path", "node_path", "name", "depth", F.get_json_object(a, "$.gate_type").alias("gate_type"), F.get_json_object(a, "$.is_critical").cast("boolean").alias("is_critical"))
+
+
+def p4_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed column concordance of extractions: its panel array as a flat child table."""
+    flat = nested.flat_tables(table(spark, sf_dir, "extractions"), "extraction_id", "concordance")["concordance.panel"]
+    return flat.select("extraction_id", "node_path", "methods", "metric", "score")
+
+
+QUERIES = {"p4_found": p4_found, "p4_gates": p4_gates, "p4_concordance": p4_concordance, "p2_found": p2_found, "p2_table": p2_table, "p5_found": p5_found, "p5_values": p5_values}
+
+ORACLES: dict[str, str] = {}
