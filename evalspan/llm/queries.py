@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.llm import survivors
+from evalspan.llm import canonical_names, survivors
 from evalspan.sources.tables import table
 
 # Problem 1: one record per paper.
@@ -77,6 +77,39 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_golden": p1_golden}
+# Problem 3: typed markers and dyes as names of their lists.
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = table(spark, sf_dir, "marker_list").select(F.lit("marker").alias("list"), F.col("marker").alias("name"))
+    return markers.unionAll(table(spark, sf_dir, "fluorophore").select(F.lit("fluorophore").alias("list"), "name"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(test_case_id, ord, list, value) of the values that have to be mapped."""
+    entries = table(spark, sf_dir, "staging_panel").select("test_case_id", F.explode("entries").alias("e"))
+    fields = F.array(*(F.struct(F.lit(f).alias("list"), F.col("e")[f].alias("value")) for f in ("marker", "fluorophore")))
+    typed = entries.select("test_case_id", F.col("e")["ord"].alias("ord"), F.inline(fields)).filter(F.col("value").isNotNull() & ~canonical_names.is_blank(F.col("value")))
+    listed = _names(spark, sf_dir).select(F.col("list").alias("l"), "name")
+    return typed.join(listed, (F.col("list") == F.col("l")) & (F.col("value") == F.col("name")), "left_anti")
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _typed(spark, sf_dir).select("list", "value").distinct()
+    return canonical_names.canonical_values(values, _names(spark, sf_dir), table(spark, sf_dir, "synonyms"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _typed(spark, sf_dir).join(_mapped(spark, sf_dir), ["list", "value"])
+    return rows.select("test_case_id", "ord", F.col("list").alias("field"), "canonical").distinct()
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the distinct values that name nothing in their list."""
+    rows = _typed(spark, sf_dir).join(_mapped(spark, sf_dir).filter("canonical = ''"), ["list", "value"])
+    return rows.groupBy(F.col("list").alias("field"), "value").agg(F.count("*").alias("n_entries"), F.max("score").alias("best_score"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
 ORACLES: dict[str, str] = {}
