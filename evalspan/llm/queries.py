@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.llm import canonical_names, survivors
+from evalspan.llm import canonical_names, leakage, survivors
 from evalspan.sources.tables import table
 
 # Problem 1: one record per paper.
@@ -110,6 +110,25 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("list").alias("field"), "value").agg(F.count("*").alias("n_entries"), F.max("score").alias("best_score"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
+# Problem 6: evaluation items in documents.
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.filter(F.col("longest_run") >= leakage.WINDOW)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of every item: documents that give it away and the longest passage."""
+    leaks = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("longest_run").alias("longest_run"))
+    items = table(spark, sf_dir, "eval_items").select("item_id", "task")
+    return items.join(leaks, "item_id", "left").select("item_id", "task", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
 ORACLES: dict[str, str] = {}
