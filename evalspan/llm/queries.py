@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.llm import canonical_names, leakage, survivors
+from evalspan.llm import canonical_names, leakage, reading_level, survivors
 from evalspan.sources.tables import table
 
 # Problem 1: one record per paper.
@@ -129,6 +129,19 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(leaks, "item_id", "left").select("item_id", "task", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
+# Problem 8: reading level of documents.
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples")).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of the corpus: documents and words a sentence by level."""
+    scored = reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
+    return scored.groupBy("level").agg(F.count("*").alias("n_documents"), F.avg("unfamiliar").alias("mean_unfamiliar"), F.avg("sentence_length").alias("mean_sentence_length"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
 ORACLES: dict[str, str] = {}
