@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspan.llm import canonical_names, leakage, reading_level, survivors
+from evalspan.llm import canonical_names, leakage, mixture, reading_level, survivors
 from evalspan.sources.tables import table
 
 # Problem 1: one record per paper.
@@ -129,6 +129,23 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(leaks, "item_id", "left").select("item_id", "task", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
+# Problem 7: a mixture of sources.
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with the number of times that each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the shares that the sources really got."""
+    return _mixture(spark, sf_dir)[1]
+
+
 # Problem 8: reading level of documents.
 
 
@@ -142,6 +159,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("level").agg(F.count("*").alias("n_documents"), F.avg("unfamiliar").alias("mean_unfamiliar"), F.avg("sentence_length").alias("mean_sentence_length"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
+QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
 ORACLES: dict[str, str] = {}
