@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspan.llm.words import words
-from evalspan.session import spread
+from evalspan.session import cut_lineage, spread
 
 #: Upper ends of the strata, in words a sentence (the last takes all), and shares of documents for the graded lists.
 STRATA = (12.0, 18.0, 24.0, np.inf)
@@ -52,17 +53,20 @@ FUNCTION_WORDS = {
     "fr": "le la les des et est une un dans pour avec sur que qui du au par ne pas sont ce cette il elle de notre chaque bien",
     "es": "el la los las y es una un en para con del que se por no son su al como más sin de cada aunque cuando",
 }
-_LANGUAGES: dict[str, str] = {}
+_LANGUAGES: dict[str, tuple[str, ...]] = {}
 for _code, _list in FUNCTION_WORDS.items():
     for _w in _list.split():
-        _LANGUAGES[_w] = _LANGUAGES.get(_w, "") + _code
+        _LANGUAGES[_w] = (*_LANGUAGES.get(_w, ()), _code)
 _END = re.compile(r"[.!?;]+(?=[\"'”’)\]]*(?:\s|$))")
 _SENTENCE = re.compile(r"[.!?;]+\s+|\n+")
 
 
 def _hits(tokens: list[str]) -> dict[str, int]:
-    found = Counter(map(_LANGUAGES.get, tokens))
-    return {code: sum(n for codes, n in found.items() if codes and code in (codes[i : i + 2] for i in range(0, len(codes), 2))) for code in FUNCTION_WORDS}
+    hits = dict.fromkeys(FUNCTION_WORDS, 0)
+    for codes, n in Counter(map(_LANGUAGES.get, tokens)).items():
+        for code in codes or ():
+            hits[code] += n
+    return hits
 
 
 def is_english(text: str, tokens: list[str]) -> bool:
@@ -95,7 +99,7 @@ def _english(texts: list[str | None], min_words: int) -> Iterator[tuple[int, lis
     for i, x in enumerate(texts):
         tokens = words(x) if isinstance(x, str) else []
         if len(tokens) >= min_words and is_english(x, tokens):
-            alpha = [w for w in tokens if w.isalpha()]
+            alpha = list(filter(str.isalpha, tokens))
             if alpha:
                 yield i, alpha, sentence_length(x, tokens)
 
@@ -152,15 +156,13 @@ class Features:
 
     def __init__(self, familiar: dict[str, int]) -> None:
         self.row = {w: i for i, w in enumerate(familiar, 1)}
-        self.table = np.ones((len(familiar) + 1, N_LISTS), np.uint8)  # row 0: a word on no list
+        self.table = np.ones((len(familiar) + 1, N_LISTS), np.float32)  # row 0: a word on no list
         for w, i in self.row.items():
             self.table[i] = [not familiar[w] >> b & 1 for b in range(N_LISTS)]
 
     def __call__(self, alpha: list[str]) -> np.ndarray:
-        get = self.row.get
-        counts = np.bincount(np.fromiter((get(w, 0) for w in alpha), np.int64, len(alpha)), minlength=len(self.table))
-        used = np.flatnonzero(counts)
-        return counts[used] @ self.table[used] / len(alpha)
+        rows = np.fromiter(map(self.row.get, alpha, repeat(0)), np.int64, len(alpha))
+        return self.table[rows].sum(0) / len(alpha)
 
 
 @dataclass
@@ -219,7 +221,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 60
     """
     spark = documents.sparkSession
     corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    familiar = familiar_words(document_frequencies(corpus, min_words))
+    familiar = familiar_words(cut_lineage(document_frequencies(corpus, min_words)))  # the corpus is counted once
     labelled = [(int(r[0]), r[1]) for r in samples.filter("level is not null and text is not null").select("level", "text").limit(MAX_SAMPLES).collect()]
     model = spark.sparkContext.broadcast(LevelModel(familiar, labelled))
     shown = len(SHARES) // 2

@@ -9,7 +9,9 @@ import unicodedata
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
 _REFERENCE = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
-_BROKEN = re.compile(r"([^\W_]+)[-‐‑­][ \t]*\r?\n\s*([^\W_]+)")
+#: Starts with the hyphen, so that a text is scanned once.
+_BREAK = re.compile(r"[-‐‑­][ \t]*\r?\n\s*")
+_LAST, _FIRST = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 #: Everything in ASCII but letters and digits becomes a blank.
 _BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
@@ -37,12 +39,18 @@ def join_broken(text: str, vocabulary: frozenset[str] | None) -> str:
     both are in it and the joined word is not; without one, the parts are joined.
     """
 
-    def joined(m: re.Match) -> str:
-        a, b = m[1], m[2]
-        apart = vocabulary is not None and a + b not in vocabulary and a in vocabulary and b in vocabulary
-        return f"{a} {b}" if apart else a + b
-
-    return _BROKEN.sub(joined, text) if "\n" in text else text
+    if "\n" not in text:
+        return text
+    parts, end = [], 0
+    for m in _BREAK.finditer(text):
+        before = _LAST.search(text, max(0, m.start() - 100), m.start())
+        after = _FIRST.match(text, m.end())
+        if before and after:
+            a, b = before[0], after[0]
+            apart = vocabulary is not None and a + b not in vocabulary and a in vocabulary and b in vocabulary
+            parts += [text[end : m.start()], " " if apart else ""]
+            end = m.end()
+    return "".join([*parts, text[end:]]) if end else text
 
 
 def words(text: str | None, vocabulary: frozenset[str] | None = None) -> list[str]:
