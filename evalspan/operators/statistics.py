@@ -9,6 +9,7 @@ left out; groups of fewer than two rows have null intervals; a zero deviation gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspan.functions.columns import ladder, normal_cdf, r6, ratio, z_quantile
+from evalspan.functions.columns import ladder, r6, ratio, z_quantile
 
 BLOCK = 4096
 
@@ -72,10 +73,13 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str,
     # Bias correction: the levels move by twice the normal quantile of the share of replicates below the mean.
     bounds = [(z_quantile(lo), "bc_low"), (z_quantile(hi), "bc_high")]
     share = F.least(F.greatest(F.col("below"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    t = F.sqrt(-2 * F.log(F.least(share, 1 - share)))
-    z0 = F.when(share == 0.5, 0.0).otherwise(F.signum(share - 0.5) * (t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)))
+    g = g.withColumn("__t", F.sqrt(-2 * F.log(F.least(share, 1 - share)))).withColumn("__sign", F.signum(share - 0.5))
+    t = F.col("__t")
+    g = g.withColumn("__z0", F.col("__sign") * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))))
+    cdf = F.udf(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), "double")  # one value per group
+    z0 = F.col("__z0")
     size = F.size("ts")
-    at = lambda z: F.get("ts", F.least(F.floor(normal_cdf(2 * z0 + z) * size), size - 1).cast("int"))
+    at = lambda z: F.get("ts", F.least(F.floor(cdf(2 * z0 + z) * size), size - 1).cast("int"))
     q = lambda i: F.get("q", F.lit(i))
     enough = lambda x: F.when(F.col("n") >= 2, r6(x))
     return g.select(*keys, "n", r6(F.col("mean")).alias("mean"), enough(F.col("se")).alias("se"), enough(q(0)).alias("low"), enough(q(1)).alias("high"), enough(2 * F.col("mean") - q(1)).alias("basic_low"), enough(2 * F.col("mean") - q(0)).alias("basic_high"), *(enough(at(F.lit(z))).alias(name) for z, name in bounds))
