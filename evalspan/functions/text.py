@@ -149,7 +149,7 @@ def explicit_confidence(c: Column) -> Column:
     number = r"(\d+(?:\.\d+)?)"
     patterns = (rf'"confidence"\s*:\s*{number}', rf"confidence[:\s]+{number}\s*%?", rf"{number}\s*%?\s*confident", rf"certainty[:\s]+{number}\s*%?", rf"{number}\s*%?\s*certain", rf"{number}\s*%\s*(?:sure|probability|likely)")
     found = F.coalesce(*(F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)) for p in patterns)).cast("double")
-    return F.least(F.greatest(F.when(found > 1, found / 100).otherwise(found), F.lit(0.0)), F.lit(1.0))
+    return F.when(found.isNotNull(), F.least(F.when(found > 1, found / 100).otherwise(found), F.lit(1.0)))
 
 
 def error_kind(c: Column) -> Column:

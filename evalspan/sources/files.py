@@ -59,7 +59,7 @@ def marker_table(spark: SparkSession, path: str) -> DataFrame:
 def piped_table(text: Column) -> Column:
     """Markdown table as array<map<header, cell>>: separator line dropped, short rows padded with '', empty cells kept."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains("|"))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda s: F.trim(s))
     header = cells(F.get(lines, F.lit(0)))
     body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.rlike(r"^[\s|:-]+$"))
     return F.transform(body, lambda x: F.map_from_arrays(header, F.transform(header, lambda _, i: F.coalesce(F.get(cells(x), i), F.lit("")))))
