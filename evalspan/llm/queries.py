@@ -26,7 +26,7 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "title",
         "model",
         F.array_max(F.filter(F.transform(panel, lambda p: p["score"]), lambda s: (s >= 0) & (s <= 1))).alias("score"),
-        F.size(F.array_distinct(F.filter(F.transform(method_names, F.trim), lambda m: m != ""))).alias("n_methods"),
+        F.size(F.array_distinct(F.filter(F.transform(method_names, lambda s: F.trim(s)), lambda m: m != ""))).alias("n_methods"),
         F.unix_micros(F.col("extracted_at").cast("timestamp")).alias("extracted_at"),
         _chosen_method("panel").alias("best_panel"),
         _chosen_method("gating_hierarchy").alias("best_gating"),
