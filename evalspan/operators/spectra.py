@@ -61,7 +61,7 @@ def spreading(pairs: DataFrame, stain_index: DataFrame) -> DataFrame:
     """Spreading of every ordered pair: sqrt(sim^2 SI_i) sqrt(SI_i / SI_j); the ratio is skipped for SI_j <= 0."""
     both = pairs.select("name_a", "name_b", "similarity").unionAll(pairs.select(F.col("name_b"), F.col("name_a"), "similarity"))
     i, j = stain_index.select(F.col("name").alias("i"), F.col("si").alias("si_i")), stain_index.select(F.col("name").alias("j"), F.col("si").alias("si_j"))
-    x = both.join(F.broadcast(i), F.col("name_a") == F.col("i")).join(F.broadcast(j), F.col("name_b") == F.col("j"))
+    x = both.join(i, F.col("name_a") == F.col("i")).join(j, F.col("name_b") == F.col("j"))
     spread = F.sqrt(F.pow("similarity", F.lit(2.0)) * F.col("si_i")) * F.when(F.col("si_j") > 0, F.sqrt(F.col("si_i") / F.col("si_j"))).otherwise(1.0)
     return x.select("name_a", "name_b", r6(spread).alias("spread"))
 
