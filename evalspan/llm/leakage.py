@@ -63,6 +63,8 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
     """SimHash of the shingles of the window from every position: a bit is the majority of its shingles' bits."""
     k = WINDOW - SHINGLE + 1
+    if len(shingles) > 2 * CHUNK_WORDS:  # one very long text: parts overlap by a window
+        return np.concatenate([fingerprints(shingles[i : i + CHUNK_WORDS + k - 1]) for i in range(0, len(shingles) - k + 1, CHUNK_WORDS)])
     n = len(shingles) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

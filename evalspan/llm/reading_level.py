@@ -162,7 +162,7 @@ class Features:
 
     def __call__(self, alpha: list[str]) -> np.ndarray:
         rows = np.fromiter(map(self.row.get, alpha, repeat(0)), np.int64, len(alpha))
-        return self.table[rows].sum(0) / len(alpha)
+        return sum(self.table[rows[i : i + 100_000]].sum(0, dtype=np.float64) for i in range(0, len(rows), 100_000)) / len(alpha)
 
 
 @dataclass
