@@ -241,3 +241,59 @@ def shingles(tokens: Column, n: int) -> Column:
     """Distinct runs of n words, joined by blanks; [] for shorter texts."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.slice(runs, 1, 0))
+
+
+def first_family(c: Column, families: dict[str, Sequence[str]], otherwise: str | None = None) -> Column:
+    """First family of which a word is a substring of the text (case aside); families in their order."""
+    t = F.lower(text_of(c))
+    out = F
+    for name, words in families.items():
+        out = out.when(reduce(Column.__or__, (t.contains(w) for w in words)), name)
+    return out.otherwise(F.lit(otherwise))
+
+
+def most_hits(c: Column, keywords: dict[str, Sequence[str]]) -> Column:
+    """Kind with the most keyword hits; the earlier one of equals; null without a hit."""
+    t = F.lower(text_of(c))
+    counts = [(name, reduce(Column.__add__, (t.contains(w).cast("int") for w in words))) for name, words in keywords.items()]
+    ranked = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts))))
+    return F.when(ranked["n"] > 0, ranked["name"])
+
+
+def marker_state(c: Column) -> Column:
+    """State of a marker as +, -, dim, bright; other words as they are."""
+    s = F.lower(F.trim(text_of(c)))
+    return F.when(s.isin("+", "pos", "positive", "yes", "hi+"), "+").when(s.isin("-", "neg", "negative", "no"), "-").when(s.isin("dim", "low", "lo", "int", "intermediate"), "dim").when(s.isin("bright", "hi", "high", "++"), "bright").otherwise(s)
+
+
+def replaced_at_start(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """First of the ordered rules (regex, replacement) that matches at the start, applied; else the text."""
+    out = F
+    for pattern, to in rules:
+        out = out.when(text_of(c).rlike(f"^(?:{pattern})"), F.regexp_replace(text_of(c), pattern, to))
+    return out.otherwise(text_of(c))
+
+
+def assignment_accuracy(predicted: Column, truth: Column) -> Column:
+    """Share of the keys of a true map whose value is the predicted one (case and blanks aside); 0 for an empty truth."""
+    same = F.map_filter(truth, lambda k, v: F.lower(F.trim(F.try_element_at(predicted, k))) == F.lower(F.trim(v)))
+    return ratio(F.size(same), F.size(truth))
+
+
+def claims(c: Column, patterns: dict[str, str], context: int = 30) -> Column:
+    """array<struct<kind, value, context>>: first group of every match of the ordered patterns with the characters around its first place."""
+    t = text_of(c)
+
+    def of(kind: str, pattern: str) -> Column:
+        around = lambda v: F.substring(t, F.greatest(F.instr(t, v) - context, F.lit(1)), F.length(v) + 2 * context)
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), around(v).alias("context")))
+
+    return F.flatten(F.array(*(of(kind, p) for kind, p in patterns.items())))
+
+
+def concept_score(c: Column, required: Sequence[str], bonus: Sequence[str], failing: Sequence[str]) -> Column:
+    """Share of required concepts, plus a tenth per bonus (0.2 at most), minus a fifth per failure (0.5 at most), within 0 and 1."""
+    t = F.lower(text_of(c))
+    n = lambda ws: reduce(Column.__add__, (t.contains(w).cast("int") for w in ws), F.lit(0))
+    base = ratio(n(required), F.lit(len(required)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + F.least(0.1 * n(bonus), F.lit(0.2)) - F.least(0.2 * n(failing), F.lit(0.5))))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspan.functions.columns import ladder, r6, ratio, z_quantile
+from evalspan.functions.columns import ladder, normal_cdf, r6, ratio, z_quantile
 
 BLOCK = 4096
 
@@ -189,3 +189,48 @@ def pass_at_k(df: DataFrame, keys: Sequence[str], passed: Column, ks: Sequence[i
         every = F.when(c >= n, 1.0).when(n < k, F.pow(c / n, F.lit(float(k)))).when(c < k, 0.0).otherwise(product(c, k))
         out = out.withColumn(f"pass_at_{k}", r6(some)).withColumn(f"pass_all_{k}", r6(every))
     return out
+
+
+def bootstrap_difference(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Difference of the means of two groups with a percentile interval from independent resamples."""
+    weights = lambda u: np.searchsorted(_POISSON, u).astype(float)
+    side = lambda name: df.filter(F.col(group) == name)
+    both = None
+    for i, name in enumerate((a, b)):
+        reps = _replicates(side(name), keys, row_id, F.col(value), weights, replicates, seed + i).filter("w > 0").select(*keys, "replicate", (F.col("wx") / F.col("w")).alias(f"t{i}"))
+        both = reps if both is None else both.join(reps, [*keys, "replicate"])
+    means = df.groupBy(*keys).agg((F.avg(F.when(F.col(group) == a, F.col(value))) - F.avg(F.when(F.col(group) == b, F.col(value)))).alias("d"))
+    g = both.groupBy(*keys).agg(F.percentile(F.col("t0") - F.col("t1"), [(1 - level) / 2, (1 + level) / 2]).alias("q"))
+    j = means.join(g, list(keys)) if keys else means.crossJoin(F.broadcast(g))
+    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    return j.select(*keys, r6(F.col("d")).alias("difference"), r6(low).alias("low"), r6(high).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
+
+
+def label_permutation(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Independent permutation test of the mean difference: every row draws its label with the share of group a.
+
+    Labels are drawn per row, so a replicate's group sizes vary around the true ones; the difference of
+    means is compared with the observed one (no correction).
+    """
+    rows = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    base = rows.groupBy(*keys).agg(F.avg((F.col(group) == a).cast("double")).alias("share"), F.count("*").alias("n"), F.sum(value).alias("s"), (F.avg(F.when(F.col(group) == a, F.col(value))) - F.avg(F.when(F.col(group) == b, F.col(value)))).alias("d"))
+    # One uniform number per row and replicate decides; the share is close to the row counts' ratio in every key.
+    overall = rows.agg(F.avg((F.col(group) == a).cast("double"))).first()[0] or 0.5
+    labels = lambda u: (u < overall).astype(float)
+    reps = _replicates(rows, keys, row_id, F.col(value), labels, replicates, seed)
+    j = reps.join(base, list(keys)) if keys else reps.crossJoin(F.broadcast(base))
+    d = F.col("wx") / F.col("w") - (F.col("s") - F.col("wx")) / (F.col("n") - F.col("w"))
+    return j.filter("w > 0 and w < n").groupBy(*keys).agg(r6(F.max("d")).alias("difference"), r6(F.avg((F.abs(d) >= F.abs("d") - 1e-12).cast("double"))).alias("p_value"))
+
+
+def required_n(effect: float, alpha: float = 0.05, power: float = 0.8, ratio_b: float = 1.0) -> int:
+    """Rows per group that find an effect: ceil((z(1 - a / 2) + z(power))^2 (1 + 1 / ratio) / d^2)."""
+    return math.ceil((z_quantile(1 - alpha / 2) + z_quantile(power)) ** 2 * (1 + 1 / ratio_b) / effect**2)
+
+
+def achieved_power(effect: Column, n: Column, alpha: float = 0.05, ratio_b: float = 1.0) -> Column:
+    return normal_cdf(F.abs(effect) / F.sqrt((1 + 1 / ratio_b) / n) - z_quantile(1 - alpha / 2))
+
+
+def detectable_effect(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    return (z_quantile(1 - alpha / 2) + z_quantile(power)) * F.sqrt(2 / n)
