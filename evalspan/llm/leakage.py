@@ -32,8 +32,8 @@ from evalspan.llm.words import words
 from evalspan.session import spread
 
 WINDOW, SHINGLE, RADIUS, SIMILARITY = 12, 5, 3, 0.8
-#: Characters of items in one broadcast index: about 8 bytes of fingerprint and 24 of tables per word, 32 MB at most.
-BLOCK_CHARS = 8_000_000
+#: Characters of items in one broadcast index. A word takes some 60 bytes (fingerprint, shingle, tables, the word itself): 50 MB at most.
+BLOCK_CHARS = 4_000_000
 #: Words handled at once (64 counters each) and entries of a worker's table of word hashes.
 CHUNK_WORDS, HASHES = 200_000, 1_000_000
 

@@ -93,7 +93,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         (r["source"], max(0.0, r["target_share"] or 0.0), max(0, 1 if r["max_repeats"] is None else r["max_repeats"]))
         for r in targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source is not null").orderBy("source").collect()
     ]
-    sizes = {r["source"]: (r["n"], r["t"]) for r in counted.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).join(F.broadcast(targets.select(source_key(F.col("source")).alias("source")).distinct()), "source").collect()}
+    sizes = {r["source"]: (r["n"], r["t"]) for r in counted.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).filter(F.col("source").isin([s for s, *_ in wanted])).collect()}
     live = [(s, share, repeats) for s, share, repeats in wanted if s in sizes and share > 0 and repeats > 0]
     whole = sum(share for _, share, _ in live)
     largest = min((sizes[s][1] * repeats * whole / share for s, share, repeats in live), default=0)
