@@ -67,4 +67,51 @@ def p4_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_gates": p4_gates, "p4_concordance": p4_concordance, "p2_found": p2_found, "p2_table": p2_table, "p5_found": p5_found, "p5_values": p5_values}
 
-ORACLES: dict[str, str] = {}
+_HYPHENS = copy_diff.HYPHENS
+_NORMAL = "coalesce(lower(trim(regexp_replace(translate({x}, '" + _HYPHENS + "', '" + "-" * len(_HYPHENS) + "'), '[\\s\\x{{00a0}}]+', ' ', 'g'))), '')"
+_TOP = "(SELECT k, arg_max(e, (revision, updated_at)) AS e, arg_max(struct_pack(b := b), (revision, updated_at)).b AS b FROM (SELECT upper(trim(replace(translate(test_case_id, '" + _HYPHENS + "', '" + "-" * len(_HYPHENS) + "'), '_', '-'))) AS k, revision, updated_at, entries AS e, best_extraction.panel AS b FROM {t}) GROUP BY k)"
+_FIELD_SQL = " UNION ALL ".join(f"SELECT a.k AS test_case_id, a.ch AS channel, '{f}' AS field, 'differs' AS kind FROM ea a JOIN eb b ON a.k = b.k AND a.ch = b.ch WHERE {_NORMAL.format(x=f'a.e.{f}')} <> {_NORMAL.format(x=f'b.e.{f}')}" for f in ENTRY_FIELDS)
+
+_P5 = f"""
+WITH a AS {_TOP.format(t='panel')}, b AS {_TOP.format(t='panel_copy')},
+ea AS (SELECT k, x.channel AS ch, x AS e FROM (SELECT k, unnest(e) AS x FROM a) WHERE k IN (SELECT k FROM b)),
+eb AS (SELECT k, x.channel AS ch, x AS e FROM (SELECT k, unnest(e) AS x FROM b) WHERE k IN (SELECT k FROM a))
+SELECT k AS test_case_id, '' AS channel, 'row' AS field, 'only_panel' AS kind FROM a WHERE k NOT IN (SELECT k FROM b)
+UNION ALL SELECT k, '', 'row', 'only_copy' FROM b WHERE k NOT IN (SELECT k FROM a)
+UNION ALL SELECT a.k, '', 'best_extraction.panel', 'differs' FROM a JOIN b ON a.k = b.k WHERE {_NORMAL.format(x='a.b')} <> {_NORMAL.format(x='b.b')}
+UNION ALL SELECT k, ch, 'entry', 'only_panel' FROM ea WHERE NOT EXISTS (SELECT 1 FROM eb WHERE eb.k = ea.k AND eb.ch = ea.ch)
+UNION ALL SELECT k, ch, 'entry', 'only_copy' FROM eb WHERE NOT EXISTS (SELECT 1 FROM ea WHERE eb.k = ea.k AND eb.ch = ea.ch)
+UNION ALL {_FIELD_SQL}"""
+
+_KIND = "CASE json_type({v}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
+_P2 = f"""
+WITH o AS (SELECT file_id, collection, batch_no, json_extract_string(body, '$.test_case_id') AS tc, json_extract(body, '$.context') AS c FROM context_files WHERE json_valid(body) AND json_type(json_extract(body, '$.context')) = 'OBJECT'),
+f AS (SELECT collection, batch_no, tc, k, json_extract(c, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(c)) AS k FROM o)),
+t AS (SELECT *, CASE WHEN json_type(v) = 'ARRAY' THEN (SELECT 'array<' || string_agg(DISTINCT x, ',' ORDER BY x) || '>' FROM (SELECT {_KIND.format(v='e')} AS x FROM (SELECT unnest(json_extract(v, '$[*]')) AS e)) WHERE x IS NOT NULL) ELSE {_KIND.format(v='v')} END AS kind FROM f),
+s AS (SELECT collection, batch_no, k, list_sort(list_distinct(list(kind) FILTER (WHERE kind IS NOT NULL))) AS kinds FROM t GROUP BY ALL),
+b AS (SELECT collection, batch_no, lag(batch_no) OVER (PARTITION BY collection ORDER BY batch_no) AS before FROM (SELECT DISTINCT collection, batch_no FROM s)),
+gone AS (SELECT b.collection, b.batch_no, b.before, s.k FROM b JOIN s ON s.collection = b.collection AND s.batch_no = b.before WHERE NOT EXISTS (SELECT 1 FROM s n WHERE n.collection = b.collection AND n.batch_no = b.batch_no AND n.k = s.k)),
+come AS (SELECT b.collection, b.batch_no, b.before, s.k FROM b JOIN s ON s.collection = b.collection AND s.batch_no = b.batch_no WHERE b.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s n WHERE n.collection = b.collection AND n.batch_no = b.before AND n.k = s.k)),
+r AS (SELECT g.collection, g.batch_no, g.k AS old, c.k AS new FROM gone g JOIN come c ON g.collection = c.collection AND g.batch_no = c.batch_no
+  JOIN t x ON x.collection = g.collection AND x.batch_no = g.before AND x.k = g.k AND x.kind IS NOT NULL JOIN t y ON y.collection = g.collection AND y.batch_no = g.batch_no AND y.k = c.k AND y.kind IS NOT NULL AND y.tc = x.tc
+  GROUP BY ALL HAVING count(DISTINCT x.tc) = count(DISTINCT x.tc) FILTER (WHERE CAST(x.v AS VARCHAR) = CAST(y.v AS VARCHAR)))
+SELECT collection, batch_no, 'renamed' AS change, old AS old_field, new AS new_field FROM r
+UNION ALL SELECT collection, batch_no, 'removed', k, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.collection = g.collection AND r.batch_no = g.batch_no AND r.old = g.k)
+UNION ALL SELECT collection, batch_no, 'added', '', k FROM come c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.collection = c.collection AND r.batch_no = c.batch_no AND r.new = c.k)
+UNION ALL SELECT b.collection, b.batch_no, 'retyped', n.k, n.k FROM b JOIN s n ON n.collection = b.collection AND n.batch_no = b.batch_no JOIN s p ON p.collection = b.collection AND p.batch_no = b.before AND p.k = n.k WHERE len(n.kinds) > 0 AND len(p.kinds) > 0 AND n.kinds <> p.kinds"""
+
+_DATA = "CASE WHEN json_type(d) = 'VARCHAR' THEN CAST(json_extract_string(d, '$') AS JSON) ELSE d END"
+_P4 = f"""
+WITH RECURSIVE v AS (SELECT record_id, CAST(body AS JSON) AS j FROM raw_extractions WHERE json_valid(body)),
+p AS (SELECT record_id, {_DATA} AS d FROM (SELECT record_id, json_extract(j, '$.extractions.panel.' || json_extract_string(j, '$.best_extraction.panel') || '.data') AS d FROM v)),
+h AS (SELECT record_id, {_DATA} AS d FROM (SELECT record_id, json_extract(j, '$.extractions.gating_hierarchy.' || json_extract_string(j, '$.best_extraction.gating_hierarchy') || '.data') AS d FROM v)),
+root AS (SELECT record_id, CASE WHEN json_exists(d, '$.name') THEN d WHEN json_exists(d, '$.hierarchy.name') THEN json_extract(d, '$.hierarchy') WHEN json_exists(d, '$.root.name') THEN json_extract(d, '$.root') ELSE json_extract(d, '$.hierarchy.root') END AS n FROM h),
+g AS (SELECT record_id, '' AS parent_path, '0' AS path, n FROM root WHERE json_type(n) = 'OBJECT'
+  UNION ALL SELECT record_id, path, path || '.' || (i - 1), c[i] FROM (SELECT record_id, path, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT record_id, path, CASE json_type(json_extract(n, '$.children')) WHEN 'ARRAY' THEN json_extract(n, '$.children[*]') WHEN 'OBJECT' THEN [json_extract(n, '$.children')] ELSE [] END AS c FROM g)) WHERE json_type(c[i]) = 'OBJECT'),
+e AS (SELECT record_id, unnest(range(CAST(json_array_length(d, '$.entries') AS BIGINT))) AS i FROM p WHERE json_type(json_extract(d, '$.entries')) = 'ARRAY'),
+l AS (SELECT record_id, path, unnest(range(CAST(json_array_length(n, '$.marker_logic') AS BIGINT))) AS i FROM g WHERE json_type(json_extract(n, '$.marker_logic')) = 'ARRAY')
+SELECT record_id, 'entry' AS kind, '' AS parent_path, CAST(i AS VARCHAR) AS node_path FROM e
+UNION ALL SELECT record_id, 'gate', parent_path, path FROM g
+UNION ALL SELECT record_id, 'logic', path, path || '/' || i FROM l"""
+
+ORACLES: dict[str, str] = {"p5_found": _P5, "p2_found": _P2, "p4_found": _P4}
