@@ -161,4 +161,17 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
-ORACLES: dict[str, str] = {}
+_NUMBER = "CASE WHEN regexp_matches({x}, '[1-9]') THEN regexp_replace(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9]+', '', 'g'), '^({p})', ''), '^0+', '') END"
+_DOI = "regexp_extract(lower(doi), '(10\\.\\d{3,9}/\\S+)', 1)"
+_ORDER = "(coalesce(score, -1), n_methods, extracted_at, extraction_id)"
+_P1 = f"""
+WITH RECURSIVE k AS (SELECT extraction_id AS id, unnest(list_filter(['o' || {_NUMBER.format(x='omip_id', p='OMIP')}, 'p' || {_NUMBER.format(x='pmc_id', p='(PMCID)?(PMC)?')}, CASE WHEN regexp_matches(regexp_replace({_DOI}, '^[^/]*/', ''), '[1-9]') THEN 'd' || regexp_replace({_DOI}, '[^a-z0-9]+', '', 'g') END], lambda x: x IS NOT NULL)) AS key FROM extractions),
+r AS (SELECT DISTINCT id, id AS m FROM k UNION SELECT r.id, b.id FROM r JOIN k a ON a.id = r.m JOIN k b ON a.key = b.key),
+g AS (SELECT id, min(m) AS grp FROM r GROUP BY id),
+x AS (SELECT grp, extraction_id, extracted_at, CASE WHEN lower(trim(best_extraction.panel)) NOT IN ('', 'none', 'null') THEN lower(trim(best_extraction.panel)) END AS best,
+  list_max(list_filter(list_transform(concordance.panel, lambda p: p.score), lambda s: s >= 0 AND s <= 1)) AS score,
+  len(list_distinct(list_filter(flatten(list_transform(coalesce(concordance.panel, []), lambda p: string_split_regex(lower(coalesce(p.methods, '')), '[\\s_-]+vs[\\s_-]+'))), lambda m: m <> ''))) AS n_methods
+  FROM extractions JOIN g ON id = extraction_id)
+SELECT grp AS group_id, arg_max(extraction_id, {_ORDER}) AS survivor_id, coalesce(arg_max(best, {_ORDER}) FILTER (WHERE best IS NOT NULL), '') AS best_panel FROM x GROUP BY grp HAVING count(*) >= 2"""
+
+ORACLES: dict[str, str] = {"p1_found": _P1}
