@@ -174,4 +174,8 @@ x AS (SELECT grp, extraction_id, extracted_at, CASE WHEN lower(trim(best_extract
   FROM extractions JOIN g ON id = extraction_id)
 SELECT grp AS group_id, arg_max(extraction_id, {_ORDER}) AS survivor_id, coalesce(arg_max(best, {_ORDER}) FILTER (WHERE best IS NOT NULL), '') AS best_panel FROM x GROUP BY grp HAVING count(*) >= 2"""
 
-ORACLES: dict[str, str] = {"p1_found": _P1}
+_CLEAN = r"lower(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '), '<[^<>]*>', ' ', 'g'), '\[\s*\d+(\s*[,;–-]\s*\d+)*\s*\]', ' ', 'g'), 'ﬁ', 'fi'), chr(160), ' '), '\x{00ad}(\s*\n\s*)?', '', 'g'), '([\p{L}\p{N}])[-‐‑][ \t]*\n\s*([\p{L}\p{N}])', '\1\2', 'g'))"
+_WINDOWS = "(SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) AS x FROM (SELECT @id AS id, regexp_extract_all(" + _CLEAN + r", '[\p{L}\p{N}]+') AS w FROM @table WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+_P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_WINDOWS.replace('@id', 'doc_id').replace('@table', 'documents')} d JOIN {_WINDOWS.replace('@id', 'item_id').replace('@table', 'eval_items')} i ON d.x = i.x"
+
+ORACLES: dict[str, str] = {"p1_found": _P1, "p6_found": _P6}
