@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from evalspan.session import cut_lineage
 
 #: Cosine from which a candidate is accepted, and its least distance to the next name.
-THRESHOLD, MARGIN = 0.19, 0.02
+THRESHOLD, MARGIN = 0.25, 0.02
 
 #: Names of the Greek letters that serve as suffixes.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "σ": "sigma", "ω": "omega"}
@@ -68,9 +68,13 @@ def split_form(spaced: str) -> tuple[str, str, str]:
 
 
 def grams(stem: str) -> list[str]:
-    """Distinct letters, bigrams and trigrams of a stem with its ends marked; letters still hold where two are swapped."""
+    """Distinct letters, pairs of letters at a distance of one or two, and trigrams of a stem with its ends marked.
+
+    Letters and spaced pairs still hold where neighbours are swapped.
+    """
     padded = f"^{stem}$"
-    return list(dict.fromkeys(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)))
+    runs = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+    return list(dict.fromkeys(runs + [padded[i] + padded[i + 2] for i in range(len(padded) - 2)]))
 
 
 def readings(text: str) -> list[str]:
