@@ -314,6 +314,7 @@ def budget_best(spark, d):
     return R.best_under_budget(points(spark, d).filter("gain is not null"), "name", "cost", "gain", BUDGETS)
 
 
-@query(f"SELECT name, round(CASE WHEN cost = 0 THEN 'inf'::DOUBLE ELSE gain / cost END, 6) AS gain_per_cost, round(gain * 0.5 + (1 - least(1.0, cost / 5000)) * 0.5, 6) AS efficiency FROM {_POINTS}")
+@query("SELECT name, round(CASE WHEN cost = 0 THEN 'inf'::DOUBLE ELSE gain / cost END, 6) AS gain_per_cost, round(gain * 0.5 + (1 - least(1.0, cost / 5000)) * 0.5, 6) AS efficiency FROM " + _POINTS.replace("round(avg(hierarchy_f1), 6)", "avg(hierarchy_f1)").replace("round(avg(tokens_used), 6)", "avg(tokens_used)"))
 def cost_ratios(spark, d):
-    return R.cost_ratios(points(spark, d), "name", F.col("cost"), F.col("gain"), 5000.0)
+    p = predictions(spark, d).groupBy(F.concat_ws("/", "model", "condition").alias("name")).agg(F.avg("hierarchy_f1").alias("gain"), F.avg("tokens_used").alias("cost"))
+    return R.cost_ratios(p, "name", F.col("cost"), F.col("gain"), 5000.0)
