@@ -61,10 +61,17 @@ def character_overlap(df: DataFrame, key: str, actual: str, reference: str) -> D
 
 
 def memorisation(df: DataFrame, keep: Sequence[str], actual: Column, reference: Column) -> DataFrame:
-    """n-gram overlaps and the flag: contained word for word, or half of the n-grams of some size shared."""
-    grams = {n: ngram_jaccard(actual, reference, n) for n in (3, 4, 5)}
+    """n-gram overlaps and the flag: contained word for word, or half of the n-grams of some size shared.
+
+    Words and n-grams are columns of their own steps, so each is made once per row.
+    """
     inside = (F.trim(text_of(reference)) != "") & F.lower(text_of(actual)).contains(F.lower(F.trim(text_of(reference))))
-    out = df.select(*keep, *(r6(g).alias(f"overlap_{n}") for n, g in grams.items()), inside.alias("contained"))
+    step = df.select(*keep, inside.alias("contained"), words(actual).alias("__a"), words(reference).alias("__r"))
+    for n in (3, 4, 5):
+        step = step.withColumns({f"__a{n}": shingles(F.col("__a"), n), f"__r{n}": shingles(F.col("__r"), n)})
+    step = step.withColumns({f"__i{n}": F.size(F.array_intersect(f"__a{n}", f"__r{n}")) for n in (3, 4, 5)})
+    share = {n: ratio(F.col(f"__i{n}"), F.size(f"__a{n}") + F.size(f"__r{n}") - F.col(f"__i{n}")) for n in (3, 4, 5)}
+    out = step.select(*keep, *(r6(x).alias(f"overlap_{n}") for n, x in share.items()), "contained")
     return out.withColumn("memorised", F.col("contained") | (F.greatest("overlap_3", "overlap_4", "overlap_5") >= 0.5))
 
 

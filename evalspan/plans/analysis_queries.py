@@ -15,6 +15,7 @@ from evalspan.operators import spectra as S
 from evalspan.operators import statistics as ST
 from evalspan.operators import trees as TR
 from evalspan.plans.aggregate_queries import MODELS, P, predictions
+from evalspan.session import spread
 from evalspan.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -63,7 +64,7 @@ _TOK = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
 
 @query(f"WITH t AS (SELECT source, length(text) AS len, {_TOK} AS w FROM documents WHERE text IS NOT NULL), v AS (SELECT source, count(DISTINCT x) AS vocabulary FROM (SELECT source, unnest(w) AS x FROM t) GROUP BY 1), b AS (SELECT source, count(*) AS n, round(avg(len), 6) AS mean_length, round(stddev_pop(len), 6) AS std_length, sum(len(w)) AS tokens, round(avg(len(list_distinct(w))), 6) AS mean_unique_words, count(*) - count(DISTINCT array_to_string(list_sort(list_distinct(w)), ' ')) AS copies FROM t GROUP BY 1) SELECT b.source, n, mean_length, std_length, coalesce(vocabulary, 0) AS vocabulary, round(CASE WHEN tokens > 0 THEN vocabulary / tokens ELSE 0 END, 6) AS type_token_ratio, mean_unique_words, round(copies / n, 6) AS duplicate_rate FROM b JOIN v USING (source)")
 def content_diversity(spark, d):
-    return D.content_diversity(table(spark, d, "documents").filter("source is not null"), "text", ["source"])
+    return D.content_diversity(spread(table(spark, d, "documents").select("source", "text").filter("source is not null")), "text", ["source"])
 
 
 @query("WITH g AS (SELECT avg(CAST(hierarchy_f1 < 0.3 AS DOUBLE)) AS e, avg(CAST(hierarchy_f1 >= 0.3 AND hierarchy_f1 < 0.7 AS DOUBLE)) AS m, avg(CAST(hierarchy_f1 >= 0.7 AS DOUBLE)) AS h FROM predictions WHERE hierarchy_f1 IS NOT NULL) SELECT round(e, 6) AS easy, round(m, 6) AS medium, round(h, 6) AS hard, round(abs(e - 0.3) + abs(m - 0.4) + abs(h - 0.3), 6) AS deviation, abs(e - 0.3) + abs(m - 0.4) + abs(h - 0.3) < 0.3 AS well_distributed FROM g")
@@ -308,7 +309,7 @@ def _hits(patterns) -> str:
 
 @query(f"WITH h AS (SELECT doc_id, text, {_hits(X.META_QUESTIONS)} AS m, {_hits(X.REFUSALS)} AS r, {_hits(X.INSTRUCTIONS)} AS i, {_hits(X.GATES)} AS g FROM documents) SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN (g >= 5 AND m + r + i <= 1) OR g >= 10 THEN 'none' WHEN (m >= 2 AND g < 5) OR (m >= 1 AND g < 3) THEN 'meta_questions' WHEN r >= 1 THEN 'refusal' WHEN i >= 2 AND g < 5 THEN 'instructions' ELSE 'none' END AS failure_type FROM documents JOIN h USING (doc_id)".replace("FROM documents JOIN h USING (doc_id)", "FROM h"))
 def task_failure(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.failure_type(F.col("text")).alias("failure_type"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.failure_type(F.col("text")).alias("failure_type"))
 
 
 @query(f"SELECT doc_id, {_hits([p for p, _ in X.AUTHORITY])} AS n_authority, {_hits(X.BANDWAGON)} AS n_bandwagon FROM documents")
@@ -371,7 +372,7 @@ _JAC = lambda n: f"round(CASE WHEN len(list_distinct(list_concat({_SH('a', n)},
 def memorisation_flags(spark, d):
     p = predictions(spark, d)
     ref = p.filter("parse_success").groupBy(F.col("test_case_id").alias("k")).agg(F.min_by("raw_response", "id").alias("reference"))
-    j = p.join(ref, F.col("test_case_id") == F.col("k")).withColumn("containment", r6(V.containment(F.col("reference"), F.col("raw_response"))))
+    j = spread(p.select("id", "test_case_id", "raw_response")).join(ref, F.col("test_case_id") == F.col("k")).withColumn("containment", r6(V.containment(F.col("reference"), F.col("raw_response"))))
     return V.memorisation(j, ["id", "containment"], F.col("raw_response"), F.col("reference"))
 
 
