@@ -211,3 +211,27 @@ def one_to_one(pairs: DataFrame, key: Sequence[str], left: str, right: str, simi
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*key, left, right)) + f", `{similarity}` double, kind string"
     return pairs.groupBy(*key).applyInPandas(match, schema)
+
+
+def from_populations(rows: DataFrame, tree: str, spine: Sequence[str] = ("All Events", "Singlets", "Live")) -> DataFrame:
+    """Node table of marker tables (tree, population, parent, markers): names serve as nodes.
+
+    The parent is the given one, else the population of the tree with the largest proper subset of the
+    markers, else the end of the spine. Given parents that are no population become nodes there.
+    """
+    from evalspan.operators.joins import most_specific_container
+
+    p = rows.filter(F.col("population").isNotNull()).groupBy(tree, "population").agg(F.max("parent").alias("parent"), F.flatten(F.collect_set("markers")).alias("markers"))
+    key = F.to_json(F.struct(F.col(tree).alias("t"), F.col("population").alias("p")))
+    sets = p.select(key.alias("child"), F.transform("markers", lambda m: F.concat_ws("|", F.col(tree).cast("string"), m)).alias("elements"))
+    inferred = most_specific_container(sets, sets.withColumnRenamed("child", "parent")).withColumnRenamed("parent", "__above")
+    j = p.withColumn("__key", key).join(inferred, F.col("__key") == F.col("child"), "left")
+    above = F.coalesce("parent", F.get_json_object("__above", "$.p"), F.lit(spine[-1]))
+    own = j.filter(~F.col("population").isin(*spine)).select(tree, F.col("population").alias("node"), above.alias("parent"))
+    trees = p.select(tree).distinct()
+    links = F.array(*(F.struct(F.lit(n).alias("node"), F.lit(spine[i - 1] if i else None).cast("string").alias("parent")) for i, n in enumerate(spine)))
+    backbone = trees.select(tree, F.inline(links))
+    stubs = own.select(tree, F.col("parent").alias("node")).distinct().join(own.select(tree, "node").unionAll(backbone.select(tree, "node")), [tree, "node"], "left_anti").select(tree, "node", F.lit(spine[-1]).alias("parent"))
+    nodes = own.unionAll(stubs).unionAll(backbone).withColumn("name", F.col("node"))
+    depth = ancestors(nodes, tree).groupBy(F.col(tree).alias("__t"), F.col("node").alias("__n")).agg(F.count("*").cast("int").alias("d"))
+    return nodes.join(depth, (F.col(tree) == F.col("__t")) & (F.col("node") == F.col("__n")), "left").select(tree, "node", "parent", "name", F.coalesce("d", F.lit(0)).alias("depth"))

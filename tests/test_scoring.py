@@ -83,3 +83,13 @@ def test_configuration(spark, tmp_path, monkeypatch):
     req = spark.createDataFrame([("q", 0.0), ("q", 0.7)], "p string, t double")
     assert [r.response for r in config.cached_responses(req, config.response_key(F.col("p")), cache, "t").orderBy("t").collect()] == ["r", None]
     assert config.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
+
+
+def test_tree_from_populations(spark):
+    from evalspan.operators import trees
+
+    rows = [("t", "T", None, ["CD3+"]), ("t", "CD4 T", None, ["CD3+", "CD4+"]), ("t", "NK", "Lymphs", ["CD56+"]), ("u", "CD4 T", None, ["CD4+"]), ("u", None, None, [])]
+    df = spark.createDataFrame(rows, "tree string, population string, parent string, markers array<string>")
+    got = {(r.tree, r.node, r.parent, r.depth) for r in trees.from_populations(df, "tree").collect()}
+    spine = {(t, *x) for t in "tu" for x in (("All Events", None, 0), ("Singlets", "All Events", 1), ("Live", "Singlets", 2))}
+    assert got == spine | {("t", "T", "Live", 3), ("t", "CD4 T", "T", 4), ("t", "Lymphs", "Live", 3), ("t", "NK", "Lymphs", 4), ("u", "CD4 T", "Live", 3)}
