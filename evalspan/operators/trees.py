@@ -9,6 +9,7 @@ docstring says rows; empty trees have depth 0, no leaves, and are alike (1.0) to
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspan.functions.columns import r6, ratio
+from evalspan.functions.jsontext import response_nodes
 
 
 def tree_stats(nodes: DataFrame, tree: str) -> DataFrame:
@@ -104,9 +106,10 @@ def tree_edit_distance(a: tuple | None, b: tuple | None) -> int:
     @lru_cache(None)
     def distance(x: tuple, y: tuple) -> int:
         best = int(x[0] != y[0]) + children(x[1], y[1])
-        if x[1]:
+        # Trees of different sizes are at least 1 apart, so a way that can't be shorter isn't walked.
+        if x[1] and best > 1 + sum(size(c) != size(y) for c in x[1]):
             best = min(best, 1 + sum(distance(c, y) for c in x[1]))
-        if y[1]:
+        if y[1] and best > 1 + sum(size(c) != size(x) for c in y[1]):
             best = min(best, 1 + sum(distance(x, c) for c in y[1]))
         return best
 
@@ -114,14 +117,38 @@ def tree_edit_distance(a: tuple | None, b: tuple | None) -> int:
         if not xs or not ys:
             return sum(map(size, xs or ys))
         n = max(len(xs), len(ys))
+        if not any(t[1] for t in xs) and not any(t[1] for t in ys):  # leaves: every pair costs 0 or 1
+            return n - (Counter(t[0] for t in xs) & Counter(t[0] for t in ys)).total()
         cost = [[distance(xs[i], ys[j]) if i < len(xs) and j < len(ys) else size(xs[i]) if i < len(xs) else size(ys[j]) for j in range(n)] for i in range(n)]
         return int(sum(cost[i][j] for i, j in enumerate(assign(cost))))
 
     if a is None or b is None:
         return size(a or b) if (a or b) else 0
+    if not any(c[1] for c in a[1]) and not any(c[1] for c in b[1]):
+        return _flat_distance(a[0], [c[0] for c in a[1]], b[0], [c[0] for c in b[1]])
     return distance(a, b)
 
 
+def _flat_distance(x: str, xs: list[str], y: str, ys: list[str]) -> int:
+    """The edit distance of two roots with leaves only, in closed form."""
+
+    def lone(leaf: str, root: str, leaves: list[str]) -> int:
+        n = len(leaves)
+        return min((leaf != root) + n, 1 + n - leaves.count(leaf)) if n else int(leaf != root)
+
+    rest, same = ys.copy(), 0
+    for name in xs:
+        if name in rest:
+            rest.remove(name)
+            same += 1
+    best = (x != y) + max(len(xs), len(ys)) - same
+    if xs and best > 1:
+        best = min(best, 1 + sum(lone(c, y, ys) for c in xs))
+    if ys and best > 1:
+        best = min(best, 1 + sum(lone(c, x, xs) for c in ys))
+    return best
+
+
 def assign(cost: Sequence[Sequence[float]]) -> list[int]:
     """Column of every row in the cheapest one-to-one assignment of a square matrix (shortest augmenting paths)."""
     n, inf = len(cost), float("inf")
@@ -181,6 +208,34 @@ def edit_distances(predicted: DataFrame, truth: DataFrame, tree: str) -> DataFra
     return both.mapInPandas(measure, f"`{tree}` {kind}, distance bigint, normalised double")
 
 
+def answer_distances(df: DataFrame, key: str, actual: str, reference: str) -> DataFrame:
+    """Edit distance of the trees in an answer and in its reference text, and it divided by the larger size; no tree is an empty tree.
+
+    Row-wise, as an answer is one record: no node is shuffled.
+    """
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def tree_of(text: str | None) -> tuple[tuple | None, int]:
+            nodes = response_nodes(text)[1]  # the root first, parents before their children
+            kids: list[list] = [[] for _ in nodes]
+            for i, p, name in reversed(nodes):
+                built = (name, tuple(kids[i][::-1]))
+                if p is not None:
+                    kids[p].append(built)
+            return (built if nodes else None), len(nodes)
+
+        reference_tree = lru_cache(1 << 10)(tree_of)
+        for part in parts:
+            rows = []
+            for k, x, y in zip(part[key], part[actual], part[reference]):
+                (a, n), (b, m) = tree_of(x), reference_tree(y)
+                d = tree_edit_distance(a, b)
+                rows.append((k, d, round(min(1.0, d / max(n, m, 1)), 6)))
+            yield pd.DataFrame(rows, columns=[key, "distance", "normalised"])
+
+    return df.select(key, actual, reference).mapInPandas(measure, f"`{key}` {dict(df.dtypes)[key]}, distance bigint, normalised double")
+
+
 def one_to_one(pairs: DataFrame, key: Sequence[str], left: str, right: str, similarity: str, least: float, optimal: bool = True) -> DataFrame:
     """One-to-one matches per key from candidate pairs: optimal assignment, or greedy by (similarity, names) descending.
 

@@ -9,7 +9,6 @@ from evalspan.functions import text as X
 from evalspan.functions.columns import r6, ratio
 from evalspan.operators import agreement as G
 from evalspan.operators import diversity as D
-from evalspan.operators import ordered as O
 from evalspan.operators import overlap as V
 from evalspan.operators import spectra as S
 from evalspan.operators import statistics as ST
@@ -278,16 +277,11 @@ def truncated_responses(spark, d):
 
 @query()
 def response_tree_distance(spark, d):
-    """Edit distance between the first and the second repetition's tree of each case, model and condition."""
-    p = predictions(spark, d).filter("parse_success").withColumn("pair", F.concat_ws("|", "test_case_id", "model", "condition", "run_id"))
-    once = O.pick(p.select("pair", "bootstrap_run", "id", "raw_response"), ["pair", "bootstrap_run"], [F.col("id")])
-
-    def side(run):
-        nodes = T.parse_responses(once.filter(F.col("bootstrap_run") == run), "pair", "raw_response").filter("node is not null")
-        return nodes.select("pair", "node", "parent", "name")
-
-    first, second = side(1), side(2)
-    return TR.edit_distances(first, second, "pair")
+    """Edit distance between the tree of every parsed answer and that of its test case's reference, the first parsed answer."""
+    p = predictions(spark, d).filter("parse_success")
+    ref = p.groupBy(F.col("test_case_id").alias("k")).agg(F.min_by("raw_response", "id").alias("reference"))
+    j = spread(p.select("id", "test_case_id", "raw_response")).join(ref, F.col("test_case_id").eqNullSafe(F.col("k")))
+    return TR.answer_distances(j, "id", "raw_response", "reference")
 
 
 @query()

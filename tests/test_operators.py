@@ -227,3 +227,35 @@ def test_common_substrings(spark):
 
 def test_rounding_of_halves(spark):
     assert one(spark, F.bround(F.lit(2.5))) == 2 and one(spark, r6(F.lit(None).cast("double"))) is None
+
+
+def test_tree_distance_of_every_parsed_answer(spark, tmp_path):
+    from evalspan.plans import registry
+
+    tree = lambda *names: '{"name": "r", "children": [' + ", ".join(f'{{"name": "{n}"}}' for n in names) + "]}"
+    rows = [(1, "c", "run1", 1, tree("a", "b"), True), (2, "c", "run2", 2, tree("a", "x"), True), (3, "c", "run3", 5, tree("a"), True), (4, "c", "run3", 4, "nothing", True), (5, "c", "run1", 3, tree("a"), False)]
+    df = spark.createDataFrame(rows, "id bigint, test_case_id string, run_id string, bootstrap_run bigint, raw_response string, parse_success boolean")
+    df.selectExpr("*", "'m' as model", "'l' as context_level", "'s' as prompt_strategy", "'r' as reference_mode").write.parquet(str(tmp_path / "predictions.parquet"))
+    got = {(r.id, r.distance, r.normalised) for r in registry.QUERIES["response_tree_distance"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 0.0), (2, 1, 0.333333), (3, 1, 0.333333), (4, 3, 1.0)}
+
+
+def test_tree_edit_distance_equals_its_definition():
+    import random
+    from itertools import permutations
+
+    size = lambda t: 1 + sum(map(size, t[1]))
+
+    def plain(x, y):
+        n = max(len(x[1]), len(y[1]))
+        at = lambda t, i: t[1][i] if i < len(t[1]) else None
+        cost = lambda c, e: plain(c, e) if c and e else size(c or e) if c or e else 0
+        best = (x[0] != y[0]) + min((sum(cost(at(x, i), at(y, j)) for i, j in enumerate(p)) for p in permutations(range(n))), default=0)
+        ways = [1 + sum(plain(c, y) for c in x[1])] * bool(x[1]) + [1 + sum(plain(x, c) for c in y[1])] * bool(y[1])
+        return min([best, *ways])
+
+    rng = random.Random(5)
+    make = lambda depth: (rng.choice("abc"), tuple(make(depth - 1) for _ in range(rng.randrange(4 if depth > 1 else 3) if depth else 0)))
+    for _ in range(150):
+        a, b = make(2), make(2)
+        assert trees.tree_edit_distance(a, b) == plain(a, b), (a, b)
