@@ -1,8 +1,9 @@
 """Overlap of an answer with its reference text.
 
-Measures of one pair of texts are row-wise; common substrings of a corpus are found through a join on
-hashed k-grams at every k-th position of the reference, so no text meets all others. Defined results:
-null texts count as ''; an empty reference has overlap 0; both empty word sets are 0.
+Measures of one pair of texts are row-wise; common substrings of a corpus are found through an index of
+hashed k-grams at every k-th position of the references, so no text meets all others. The index is
+broadcast in blocks of bounded size, one pass over the outputs per block, and no output is shuffled.
+Defined results: null texts count as ''; an empty reference has overlap 0; both empty word sets are 0.
 """
 
 from __future__ import annotations
@@ -82,45 +83,130 @@ def fingerprint(df: DataFrame, text: str, k: int = 100) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k).withColumn("hash", F.substring(F.sha2("gram", 256), 1, 16))
 
 
-def _grams(part: pd.DataFrame, key: str, text: str, k: int, step: int, name: str) -> pd.DataFrame:
-    import xxhash
+#: Characters of references in one broadcast index, and of outputs hashed at a time.
+REFERENCE_CHARS, OUTPUT_CHARS = 4_000_000, 1 << 20
+#: Pairs of positions taken at a time.
+SEEDS = 1 << 18
 
-    rows = []
-    for i, t in zip(part[key], part[text]):
-        t = (t or "").lower()
-        rows += [(i, p, np.int64(np.uint64(xxhash.xxh64_intdigest(t[p : p + k])))) for p in range(0, len(t) - k + 1, step)]
-    return pd.DataFrame(rows, columns=[f"{name}_id", f"{name}_at", "h"]).astype({f"{name}_at": "int64", "h": "int64"})
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Hasher:
+    """Polynomial hashes modulo 2^64 of the k-grams at all positions of a text."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.up, self.down = _powers(self.BASE, OUTPUT_CHARS + k), _powers(pow(self.BASE, -1, 1 << 64), OUTPUT_CHARS + k)
+
+    def pieces(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(codes) - self.k + 1, OUTPUT_CHARS):
+            c = codes[at : at + OUTPUT_CHARS + self.k - 1].astype(np.uint64)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * self.up[: len(c)], dtype=np.uint64)])
+            n = len(c) - self.k + 1
+            yield at, (total[self.k :] - total[:n]) * self.down[:n] * np.uint64(0xD6E8FEB86659FD93)
+
+
+class _References:
+    """The distinct texts of the references in one array, and the k-grams at multiples of k in order of their hashes."""
+
+    def __init__(self, ids: list, texts: list[str | None], k: int) -> None:
+        self.k, self.ids = k, {}
+        for i, t in zip(ids, texts):
+            self.ids.setdefault((t or "").lower(), []).append(i)
+        lengths = [len(t) for t in self.ids]
+        self.owners = list(self.ids.values())
+        self.codes = _codes("".join(self.ids))
+        self.ends = np.cumsum(lengths, dtype=np.int64)
+        self.starts = self.ends - lengths
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(s, e - k + 1, k) for s, e in zip(self.starts, self.ends))])
+        h = np.concatenate([np.empty(0, np.uint64), *(x for _, x in _Hasher(k).pieces(self.codes))])[at]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.at = h[order], at[order]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[h >> np.uint64(44)] = True
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common start."""
+    n, i, step = min(len(a), len(b)), 0, 64
+    while i < n:
+        off = np.flatnonzero(a[i : min(n, i + step)] != b[i : min(n, i + step)])
+        if len(off):
+            return i + int(off[0])
+        i, step = i + step, step * 2
+    return n
+
+
+def _passages(text: str, refs: _References, hasher: _Hasher, least: int) -> list[tuple[int, int, int, int]]:
+    """(reference, output_at, reference_at, length) of all maximal common substrings.
+
+    Seeds of a diagonal that lie on a substring already measured are passed over, so repeated k-grams
+    cost one comparison per substring.
+    """
+    codes, k, out, covered = _codes(text), refs.k, [], {}
+    for at, h in hasher.pieces(codes):
+        here = np.flatnonzero(refs.filter[h >> np.uint64(44)])
+        lo, hi = np.searchsorted(refs.hashes, h[here]), np.searchsorted(refs.hashes, h[here], "right")
+        here, lo, n = here[hi > lo] + at, lo[hi > lo], (hi - lo)[hi > lo]
+        ends, i = np.cumsum(n), 0
+        while i < len(here):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SEEDS)))
+            first = np.repeat(ends[i:j] - n[i:j], n[i:j])
+            spots = np.repeat(lo[i:j], n[i:j]) + np.arange(len(first)) + (ends[i] - n[i]) - first
+            for p, g in zip(np.repeat(here[i:j], n[i:j]).tolist(), refs.at[spots].tolist()):
+                if p < covered.get(p - g, 0):
+                    continue
+                r = int(np.searchsorted(refs.ends, g, "right"))
+                s, e = int(refs.starts[r]), int(refs.ends[r])
+                right = _equal(codes[p:], refs.codes[g:e])
+                if right < k:
+                    continue
+                left = _equal(codes[:p][::-1], refs.codes[s:g][::-1])
+                covered[p - g] = p + right
+                if left + right >= least:
+                    out.append((r, p - left, g - left - s, left + right))
+            i = j
+    return out
 
 
 def common_substrings(outputs: DataFrame, key: str, text: str, corpus: DataFrame, ckey: str, ctext: str, least: int = 50) -> DataFrame:
     """Maximal common substrings of at least ``least`` characters, case aside: output, reference, positions, length.
 
     A common substring of that length covers a whole block of k = least / 2 characters that starts at a
-    multiple of k in the reference; blocks meet the outputs' k-grams by hash, and hits are extended.
+    multiple of k in the reference; the outputs' k-grams are looked up by hash, and hits are extended.
+    Exact copies of a reference, and of an output within a batch, are searched once.
     """
     k = max(1, least // 2)
     okind, ckind = dict(outputs.dtypes)[key], dict(corpus.dtypes)[ckey]
-    og = outputs.select(key, text).mapInPandas(lambda parts: (_grams(p, key, text, k, 1, "o") for p in parts), f"o_id {okind}, o_at bigint, h bigint")
-    cg = corpus.select(ckey, ctext).mapInPandas(lambda parts: (_grams(p, ckey, ctext, k, k, "c") for p in parts), f"c_id {ckind}, c_at bigint, h bigint")
-    pairs = og.join(cg, "h").groupBy("o_id", "c_id").agg(F.collect_set(F.struct("o_at", "c_at")).alias("seeds"))
-    j = pairs.join(outputs.select(F.col(key).alias("o_id"), F.lower(text).alias("__o")), "o_id").join(corpus.select(F.col(ckey).alias("c_id"), F.lower(ctext).alias("__c")), "c_id")
-
-    def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = set()
-            for o, c, seeds, a, b in zip(part["o_id"], part["c_id"], part["seeds"], part["__o"], part["__c"]):
-                for s in seeds:
-                    i, m = s["o_at"], s["c_at"]
-                    if a[i : i + k] != b[m : m + k]:
-                        continue
-                    lo = 0
-                    while i - lo > 0 and m - lo > 0 and a[i - lo - 1] == b[m - lo - 1]:
-                        lo += 1
-                    hi = k
-                    while i + hi < len(a) and m + hi < len(b) and a[i + hi] == b[m + hi]:
-                        hi += 1
-                    if lo + hi >= least:
-                        rows.add((o, c, i - lo, m - lo, lo + hi))
-            yield pd.DataFrame(sorted(rows), columns=["output_id", "reference_id", "output_at", "reference_at", "length"])
-
-    return j.mapInPandas(extend, f"output_id {okind}, reference_id {ckind}, output_at bigint, reference_at bigint, length bigint")
+    spark, found = outputs.sparkSession, None
+    chars = corpus.agg(F.sum(F.length(ctext))).first()[0] or 0
+    n_blocks = -(-chars // REFERENCE_CHARS) or 1
+    block = F.pmod(F.xxhash64(ckey, ctext), F.lit(n_blocks))
+    for b in range(n_blocks):
+        rows = corpus.filter(block == b).select(ckey, ctext).collect()
+        held = spark.sparkContext.broadcast(_References([r[0] for r in rows], [r[1] for r in rows], k))
+
+        def search(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            refs, hasher = held.value, _Hasher(k)
+            for part in parts:
+                copies: dict[str, list] = {}
+                for i, t in zip(part[key], part[text]):
+                    if t:
+                        copies.setdefault(t.lower(), []).append(i)
+                hits = [(ids, m) for t, ids in copies.items() if len(t) >= least for m in _passages(t, refs, hasher, least)]
+                rows = [(i, c, *m[1:]) for ids, m in hits for i in ids for c in refs.owners[m[0]]]
+                yield pd.DataFrame(rows, columns=["output_id", "reference_id", "output_at", "reference_at", "length"])
+
+        part = outputs.select(key, text).mapInPandas(search, f"output_id {okind}, reference_id {ckind}, output_at bigint, reference_at bigint, length bigint")
+        found = part if found is None else found.unionAll(part)
+    return found

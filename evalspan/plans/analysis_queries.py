@@ -384,8 +384,8 @@ def character_overlap(spark, d):
 
 @query()
 def verbatim_passages(spark, d):
-    """Common substrings of 50 characters or more between sample texts and evaluation items."""
-    return V.common_substrings(table(spark, d, "level_samples"), "sample_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    """Common substrings of 50 characters or more between documents and evaluation items."""
+    return V.common_substrings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
 @query("SELECT corr(s, f) IS NOT NULL AS known, round(coalesce(corr(s, f), 0), 6) AS r, count(*) AS n FROM (SELECT tokens_used AS s, hierarchy_f1 AS f FROM predictions WHERE tokens_used IS NOT NULL AND hierarchy_f1 IS NOT NULL)")

@@ -259,3 +259,36 @@ def test_tree_edit_distance_equals_its_definition():
     for _ in range(150):
         a, b = make(2), make(2)
         assert trees.tree_edit_distance(a, b) == plain(a, b), (a, b)
+
+
+def test_common_substrings_of_repeated_texts_and_copies(spark, tmp_path, monkeypatch):
+    import random
+
+    from evalspan.plans import registry
+
+    def plain(a, b, least):
+        got = set()
+        for i in range(len(a)):
+            for m in range(len(b)):
+                if a[i] == b[m] and not (i and m and a[i - 1] == b[m - 1]):
+                    n = next((x for x in range(min(len(a) - i, len(b) - m)) if a[i + x] != b[m + x]), min(len(a) - i, len(b) - m))
+                    got |= {(i, m, n)} if n >= least else set()
+        return got
+
+    rng = random.Random(3)
+    make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    passage = make(70, "abcdefgh ")
+    items = ["x" * 80, passage, passage, "ab" * 45, make(60, "ab") + passage[10:65], "é😀" * 30, None, ""]
+    docs = ["x" * 150, "y" + passage.upper() + "z" + passage, "ab" * 60 + passage[:49], "é😀" * 40, passage, passage, None, "", make(200, "ab")]
+    monkeypatch.setattr(overlap, "REFERENCE_CHARS", 150)
+    monkeypatch.setattr(overlap, "OUTPUT_CHARS", 64)
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["verbatim_passages"](spark, str(tmp_path)).collect()]
+    want = {(i, c, *m) for i, a in enumerate(docs) for c, b in enumerate(items) for m in plain((a or "").lower(), (b or "").lower(), 50)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    # The whole search, in pieces of 64 characters here, as the workers have their own settings.
+    refs = overlap._References(list(range(len(items))), items, 25)
+    for i, a in enumerate(docs):
+        here = {(c, *m[1:]) for m in overlap._passages((a or "").lower(), refs, overlap._Hasher(25), 50) for c in refs.owners[m[0]]}
+        assert here == {w[1:] for w in want if w[0] == i}
