@@ -1,7 +1,8 @@
 """Trees as node tables, and their comparison.
 
-A node table has tree, node, parent (null at the root), name and depth. Walks go level by level over the
-whole table, one join a level, so they take as many rounds as the deepest tree has levels. Pair measures
+A node table has tree, node, parent (null at the root), name and depth. Walks double their reach with
+every join over the whole table, so they take as many rounds as the deepest tree's depth has bits; the rows
+of a round are written once to the checkpoint folder. Pair measures
 that need a whole tree (edit distance, assignments) work on one tree pair at a time, whose size is that
 of a single record. Defined results: duplicate names count once in sets and keep their number where a
 docstring says rows; empty trees have depth 0, no leaves, and are alike (1.0) to each other.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evalspan.functions.columns import r6, ratio
 from evalspan.functions.jsontext import response_nodes
+from evalspan.session import cut_lineage
 
 
 def tree_stats(nodes: DataFrame, tree: str) -> DataFrame:
@@ -28,17 +30,28 @@ def tree_stats(nodes: DataFrame, tree: str) -> DataFrame:
     return j.groupBy(tree).agg(F.max("depth").alias("max_depth"), F.count("*").alias("n_nodes"), F.countDistinct("name").alias("n_names"), F.count_if(F.col("children").isNull()).alias("n_leaves"), r6(F.coalesce(F.avg("children"), F.lit(0.0))).alias("branching"))
 
 
-def ancestors(nodes: DataFrame, tree: str, max_depth: int = 64) -> DataFrame:
-    """(tree, node, ancestor, distance) of all ancestors, one join a level."""
-    up = nodes.filter("parent is not null").select(tree, "node", F.col("parent").alias("ancestor"))
-    step = up.select(F.col(tree).alias("t"), F.col("node").alias("n"), F.col("ancestor").alias("above"))
-    level, out = up.withColumn("distance", F.lit(1)), None
-    for i in range(1, max_depth + 1):
-        out = level if out is None else out.unionAll(level)
-        level = level.join(step, (F.col(tree) == F.col("t")) & (F.col("ancestor") == F.col("n"))).select(tree, "node", F.col("above").alias("ancestor"), F.lit(i + 1).alias("distance"))
-        if level.isEmpty():
-            break
-    return out
+def ancestors(nodes: DataFrame, tree: str) -> DataFrame:
+    """(tree, node, ancestor, distance) of all ancestors at any depth.
+
+    If the parents of some nodes run in a circle, every (node, ancestor) is given once, at its first distance; the
+    nodes of the circle are ancestors of themselves.
+    """
+    columns = (tree, "node", "ancestor", "distance")
+    found = cut_lineage(nodes.filter("parent is not null").select(tree, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    jump, reach, circle = found, 1, not found.filter("node = ancestor").isEmpty()
+    while True:
+        # A way of up to 2 * reach steps is one of exactly reach steps and a shorter one from there.
+        far = found.select(F.col(tree).alias("t"), F.col("node").alias("n"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
+        step = jump.join(far, (F.col(tree) == F.col("t")) & (F.col("ancestor") == F.col("n")))
+        new = every = cut_lineage(step.select(tree, "node", F.col("above").alias("ancestor"), (F.col("more") + reach).alias("distance")))
+        circle = circle or not new.filter("node = ancestor").isEmpty()
+        if circle:
+            first = every.groupBy(*columns[:3]).agg(F.min("distance").alias("distance"))
+            new = cut_lineage(first.join(found, list(columns[:3]), "left_anti").select(*columns))
+        if new.isEmpty():
+            return found
+        found, reach = found.unionAll(new), reach * 2
+        jump = every.filter(F.col("distance") == reach)
 
 
 def leaf_paths(nodes: DataFrame, tree: str, separator: str = " > ") -> DataFrame:

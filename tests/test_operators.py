@@ -292,3 +292,25 @@ def test_common_substrings_of_repeated_texts_and_copies(spark, tmp_path, monkeyp
     for i, a in enumerate(docs):
         here = {(c, *m[1:]) for m in overlap._passages((a or "").lower(), refs, overlap._Hasher(25), 50) for c in refs.owners[m[0]]}
         assert here == {w[1:] for w in want if w[0] == i}
+
+
+def test_walks_of_deep_trees_and_circles(spark):
+    from evalspan.operators import perturb
+
+    chain = [("deep", i, i - 1 if i else None, f"n{i}", i) for i in range(150)]
+    # 1 -> 2 -> 3 -> 1 with a tail 5 -> 4 -> 1, and a node that is its own parent
+    circles = [("c", 1, 2, "a", 0), ("c", 2, 3, "b", 0), ("c", 3, 1, "c", 0), ("c", 4, 1, "d", 1), ("c", 5, 4, "e", 2), ("s", 1, 1, "a", 0)]
+    schema = "tree string, node int, parent int, name string, depth int"
+    n = spark.createDataFrame(chain, schema)
+    got = [(r.node, r.ancestor, r.distance) for r in trees.ancestors(n, "tree").collect()]
+    assert len(got) == 150 * 149 // 2 and set(got) == {(i, j, i - j) for i in range(150) for j in range(i)}
+    assert [r.path for r in trees.leaf_paths(n, "tree").collect()] == [" > ".join(f"n{i}" for i in range(150))]
+    kept = {r.node for r in perturb.pruned(n, "tree", 0.03).collect()}
+    assert kept == set(range(len(kept))) and len(kept) < 86
+    c = trees.ancestors(spark.createDataFrame(circles, schema), "tree").collect()
+    ring = {(a, b, (b - a) % 3 or 3) for a in (1, 2, 3) for b in (1, 2, 3)}
+    tail = {(4, 1, 1), (4, 2, 2), (4, 3, 3), (5, 4, 1), (5, 1, 2), (5, 2, 3), (5, 3, 4)}
+    assert sorted((r.tree, r.node, r.ancestor, r.distance) for r in c) == sorted([*(("c", *x) for x in ring | tail), ("s", 1, 1, 1)])
+    rows = [("t", f"p{i}", f"p{i - 1}" if i else "Live", []) for i in range(80)]
+    deep = trees.from_populations(spark.createDataFrame(rows, "tree string, population string, parent string, markers array<string>"), "tree")
+    assert {r.node: r.depth for r in deep.collect()} == {"All Events": 0, "Singlets": 1, "Live": 2} | {f"p{i}": i + 3 for i in range(80)}
