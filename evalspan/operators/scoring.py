@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspan.functions.columns import r6, ratio
+from evalspan.operators.trees import ancestors
 
 
 def set_f1(predicted: DataFrame, truth: DataFrame, key: str, name: str) -> DataFrame:
@@ -62,7 +63,11 @@ def subtree_contained(main: DataFrame, candidate: DataFrame, tree: str) -> DataF
 
 
 def structure_errors(predicted: DataFrame, truth: DataFrame, tree: str) -> DataFrame:
-    """One verdict per true row below the root: missing, correct, swapped, wrong_depth or wrong_parent (in this order)."""
+    """One verdict per true row below the root, and a row 'orphaned' per predicted one that hangs on nothing true.
+
+    Verdicts in this order: missing, correct, swapped, wrong_depth, missing_ancestor (the true parent isn't predicted),
+    wrong_parent. Orphaned rows have a parent, and neither their name nor that of any ancestor is true.
+    """
     def links(df: DataFrame, s: str) -> DataFrame:
         p = df.select(F.col(tree).alias("t"), F.col("node").alias("n"), F.col("name").alias(f"parent_{s}"))
         return df.join(p, (F.col(tree) == F.col("t")) & (F.col("parent") == F.col("n"))).select(tree, "name", f"parent_{s}", F.col("depth").alias(f"depth_{s}"))
@@ -72,10 +77,16 @@ def structure_errors(predicted: DataFrame, truth: DataFrame, tree: str) -> DataF
     found = p.groupBy(tree, "name").agg(F.collect_set("parent_p").alias("parents"), F.collect_set("depth_p").alias("depths"))
     present = predicted.select(tree, "name").distinct().withColumn("present", F.lit(True))
     inverse = p.select(tree, F.col("name").alias("parent_t"), F.col("parent_p").alias("name")).distinct().withColumn("inverse", F.lit(True))
-    j = t.join(present, [tree, "name"], "left").join(found, [tree, "name"], "left").join(inverse, [tree, "name", "parent_t"], "left")
+    above = present.select(tree, F.col("name").alias("parent_t"), F.col("present").alias("parent_present"))
+    j = t.join(present, [tree, "name"], "left").join(found, [tree, "name"], "left").join(inverse, [tree, "name", "parent_t"], "left").join(above, [tree, "parent_t"], "left")
     same_parent, same_depth = F.coalesce(F.array_contains("parents", F.col("parent_t")), F.lit(False)), F.coalesce(F.array_contains("depths", F.col("depth_t")), F.lit(False))
-    kind = F.when(F.col("present").isNull(), "missing").when(same_parent & same_depth, "correct").when(F.col("inverse"), "swapped").when(same_parent, "wrong_depth").otherwise("wrong_parent")
-    return j.select(tree, "name", kind.alias("error"))
+    kind = F.when(F.col("present").isNull(), "missing").when(same_parent & same_depth, "correct").when(F.col("inverse"), "swapped").when(same_parent, "wrong_depth").when(F.col("parent_present").isNull(), "missing_ancestor").otherwise("wrong_parent")
+    names = truth.select(tree, "name").distinct()
+    extra = predicted.filter("parent is not null").join(names, [tree, "name"], "left_anti")
+    true_nodes = predicted.join(names, [tree, "name"], "left_semi").select(tree, F.col("node").alias("ancestor"))
+    held = ancestors(predicted, tree).join(true_nodes, [tree, "ancestor"], "left_semi").select(tree, "node").distinct()
+    orphaned = extra.join(held, [tree, "node"], "left_anti").select(tree, "name", F.lit("orphaned").alias("error"))
+    return j.select(tree, "name", kind.alias("error")).unionAll(orphaned)
 
 
 def order_kept(preorder: Column, required: Sequence[str]) -> Column:

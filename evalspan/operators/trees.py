@@ -80,11 +80,9 @@ def structural_errors(nodes: DataFrame, tree: str) -> DataFrame:
     return dup.join(rest, tree)
 
 
-def compare_structure(predicted: DataFrame, truth: DataFrame, tree: str) -> DataFrame:
-    """Set F1 of names, Jaccard of nodes and of (parent, child) edges, depth histogram overlap, structure accuracy per tree.
+def _structure_parts(predicted: DataFrame, truth: DataFrame, tree: str, valid: DataFrame | None) -> DataFrame:
+    """The measures of compare_structure, not rounded, and the depth histograms."""
 
-    Structure accuracy is the share of true rows (name, parent name, depth) below the root that are predicted.
-    """
     def edges(df: DataFrame) -> DataFrame:
         p = df.select(F.col(tree).alias("t"), F.col("node").alias("n"), F.col("name").alias("parent_name"))
         return df.join(p, (F.col(tree) == F.col("t")) & (F.col("parent") == F.col("n"))).select(tree, "name", "parent_name", "depth")
@@ -100,10 +98,46 @@ def compare_structure(predicted: DataFrame, truth: DataFrame, tree: str) -> Data
     hist = levels(predicted, "ca").join(levels(truth, "cb"), [tree, "depth"], "full_outer").fillna(0, ["ca", "cb"])
     depth = hist.groupBy(tree).agg((F.sum(F.least("ca", "cb")) / F.sum(F.greatest("ca", "cb"))).alias("depth_similarity"))
     found = ea.select(tree, "name", "parent_name", "depth").distinct().withColumn("hit", F.lit(1))
-    exact = eb.join(found, [tree, "name", "parent_name", "depth"], "left").groupBy(tree).agg((F.count("hit") / F.count("*")).alias("structure_accuracy"))
+    matched = eb.join(found, [tree, "name", "parent_name", "depth"], "left")
+    if valid is not None:
+        second = ea.join(valid.select("name", "parent_name"), ["name", "parent_name"], "left_semi").select(tree, "name", "depth").distinct().withColumn("second", F.lit(1))
+        matched = matched.join(second, [tree, "name", "depth"], "left").withColumn("hit", F.coalesce("hit", "second"))
+    exact = matched.groupBy(tree).agg((F.count("hit") / F.count("*")).alias("structure_accuracy"))
     j = names.join(links, tree, "left").join(depth, tree, "left").join(exact, tree, "left")
     f1 = ratio(2 * F.col("name_both"), F.col("name_a") + F.col("name_b"))
-    return j.select(tree, r6(f1).alias("name_f1"), r6(F.col("name_both") / F.col("name_any")).alias("node_jaccard"), r6(F.coalesce(F.col("edge_both") / F.col("edge_any"), F.lit(1.0))).alias("edge_jaccard"), r6(F.coalesce("depth_similarity", F.lit(1.0))).alias("depth_similarity"), r6(F.coalesce("structure_accuracy", F.lit(0.0))).alias("structure_accuracy"))
+    return j.select(tree, f1.alias("name_f1"), (F.col("name_both") / F.col("name_any")).alias("node_jaccard"), F.coalesce(F.col("edge_both") / F.col("edge_any"), F.lit(1.0)).alias("edge_jaccard"), F.coalesce("depth_similarity", F.lit(1.0)).alias("depth_similarity"), F.coalesce("structure_accuracy", F.lit(0.0)).alias("structure_accuracy"))
+
+
+def compare_structure(predicted: DataFrame, truth: DataFrame, tree: str, valid: DataFrame | None = None) -> DataFrame:
+    """Set F1 of names, Jaccard of nodes and of (parent, child) edges, depth histogram overlap, structure accuracy per tree.
+
+    Structure accuracy is the share of true rows (name, parent name, depth) below the root that are predicted. With
+    ``valid``, all pairs (name, parent_name) of a hierarchy at any distance, a true row also counts if its name is
+    predicted at its depth below a valid parent.
+    """
+    j = _structure_parts(predicted, truth, tree, valid)
+    return j.select(tree, *(r6(F.col(c)).alias(c) for c in j.columns if c != tree))
+
+
+def structure_similarity(predicted: DataFrame, truth: DataFrame, tree: str) -> DataFrame:
+    """Composite per tree: .25 node and .25 edge Jaccard, .15 shares of depths, .10 branching, .25 edit similarity.
+
+    Depths are compared by the smaller share of rows at each depth, branching by the mean children of a node (leaves
+    included), edits by the distance over the larger size. A tree of one side only has nothing in common.
+    """
+    size = lambda df, s: df.groupBy(tree).agg(F.count("*").alias(f"n_{s}"), (F.count("parent") / F.count("*")).alias(f"mean_{s}"))
+    sizes = size(predicted, "p").join(size(truth, "t"), tree, "full_outer")
+    levels = lambda df, s: df.groupBy(tree, "depth").agg(F.count("*").alias(f"c_{s}"))
+    shared = levels(predicted, "p").join(levels(truth, "t"), [tree, "depth"]).join(sizes, tree)
+    depth = shared.groupBy(tree).agg(F.sum(F.least(F.col("c_p") / F.col("n_p"), F.col("c_t") / F.col("n_t"))).alias("depths"))
+    j = _structure_parts(predicted, truth, tree, None).select(tree, "node_jaccard", "edge_jaccard").join(sizes, tree).join(depth, tree, "left").join(edit_distances(predicted, truth, tree).select(tree, "distance"), tree)
+    both = F.col("n_p").isNotNull() & F.col("n_t").isNotNull()
+    widest = F.greatest("mean_p", "mean_t")
+    branching = F.when(~both, 0.0).when(widest == 0, 1.0).otherwise(1 - F.abs(F.col("mean_p") - F.col("mean_t")) / widest)
+    edits = 1 - F.least(F.lit(1.0), F.col("distance") / F.greatest("n_p", "n_t"))
+    parts = {"node_similarity": F.col("node_jaccard"), "edge_similarity": F.when(both, F.col("edge_jaccard")).otherwise(0.0), "depth_similarity": F.coalesce("depths", F.lit(0.0)), "branching_similarity": branching, "edit_similarity": edits}
+    overall = sum(w * c for w, c in zip((0.25, 0.25, 0.15, 0.10, 0.25), parts.values()))
+    return j.select(tree, *(r6(c).alias(n) for n, c in parts.items()), r6(overall).alias("similarity"))
 
 
 def tree_edit_distance(a: tuple | None, b: tuple | None) -> int:

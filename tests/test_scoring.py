@@ -93,3 +93,29 @@ def test_tree_from_populations(spark):
     got = {(r.tree, r.node, r.parent, r.depth) for r in trees.from_populations(df, "tree").collect()}
     spine = {(t, *x) for t in "tu" for x in (("All Events", None, 0), ("Singlets", "All Events", 1), ("Live", "Singlets", 2))}
     assert got == spine | {("t", "T", "Live", 3), ("t", "CD4 T", "T", 4), ("t", "Lymphs", "Live", 3), ("t", "NK", "Lymphs", 4), ("u", "CD4 T", "Live", 3)}
+
+
+def test_structure_errors_of_missing_and_orphaned_gates(spark):
+    truth = tree(spark, [(0, None, "R", 0), (1, 0, "A", 1), (2, 1, "B", 2), (3, 0, "C", 1), (4, 3, "D", 2)])
+    # A isn't predicted, so B has lost its ancestor; D hangs on C's place but C is there; X > Y > Z hang on nothing true, V below C does.
+    pred = tree(spark, [(0, None, "R", 0), (1, 0, "B", 1), (2, 0, "C", 1), (3, 0, "D", 1), (4, None, "X", 0), (5, 4, "Y", 1), (6, 5, "Z", 2), (7, 2, "U", 2), (8, 7, "V", 3)])
+    got = sorted((r.name, r.error) for r in scoring.structure_errors(pred, truth, "tree").collect())
+    assert got == [("A", "missing"), ("B", "missing_ancestor"), ("C", "correct"), ("D", "wrong_parent"), ("Y", "orphaned"), ("Z", "orphaned")]
+
+
+def test_structure_similarity_and_valid_parents(spark):
+    from evalspan.operators import trees
+
+    truth = tree(spark, [(0, None, "R", 0), (1, 0, "A", 1), (2, 1, "B", 2), (3, 1, "C", 2)])
+    pred = tree(spark, [(0, None, "R", 0), (1, 0, "A", 1), (2, 0, "E", 1), (3, 2, "C", 2)])
+    r = trees.structure_similarity(pred, truth, "tree").first()
+    # 3 of 5 names, 1 of 5 edges, depths 1 1 2 against 1 2 1 of 4, 3/4 children a node in both; distance 2 (B to nothing, E in C's way).
+    d = trees.edit_distances(pred, truth, "tree").first().distance
+    parts = (0.6, 0.2, 0.75, 1.0, 1 - d / 4)
+    assert (r.node_similarity, r.edge_similarity, r.depth_similarity, r.branching_similarity, r.edit_similarity) == parts
+    assert r.similarity == round(sum(w * x for w, x in zip((0.25, 0.25, 0.15, 0.1, 0.25), parts)), 6)
+    same, alone = trees.structure_similarity(truth, truth, "tree").first(), trees.structure_similarity(truth.limit(0), truth, "tree").first()
+    assert same.similarity == 1.0 and alone.similarity == 0.0
+    valid = spark.createDataFrame([("C", "E"), ("C", "R")], "name string, parent_name string")
+    accuracy = lambda v: trees.compare_structure(pred, truth, "tree", v).first().structure_accuracy
+    assert accuracy(None) == 0.333333 and accuracy(valid) == 0.666667
