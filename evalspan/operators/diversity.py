@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,7 +65,11 @@ def content_diversity(df: DataFrame, text: str, keys: Sequence[str] = ()) -> Dat
     sets = t.withColumn("set", F.sha2(F.array_join(F.array_sort(F.array_distinct("w")), " "), 256))
     base = sets.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.avg("len")).alias("mean_length"), r6(F.stddev_pop("len")).alias("std_length"), F.sum(F.size("w")).alias("tokens"), r6(F.avg(F.size(F.array_distinct("w")))).alias("mean_unique_words"), (F.count("*") - F.countDistinct("set")).alias("copies"))
     vocabulary = t.select(*keys, F.explode("w").alias("word")).groupBy(*keys, "word").count().groupBy(*keys).agg(F.count("*").alias("vocabulary"))
-    j = base.join(vocabulary, list(keys), "left") if keys else base.crossJoin(F.broadcast(vocabulary))
+    if keys:
+        words = vocabulary.select(*(F.col(k).alias(f"__{k}") for k in keys), "vocabulary")
+        j = base.join(words, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left")
+    else:
+        j = base.crossJoin(F.broadcast(vocabulary))
     return j.select(*keys, "n", "mean_length", "std_length", F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), r6(ratio(F.col("vocabulary"), F.col("tokens"))).alias("type_token_ratio"), "mean_unique_words", r6(ratio(F.col("copies"), F.col("n"))).alias("duplicate_rate"))
 
 

@@ -314,3 +314,11 @@ def test_walks_of_deep_trees_and_circles(spark):
     rows = [("t", f"p{i}", f"p{i - 1}" if i else "Live", []) for i in range(80)]
     deep = trees.from_populations(spark.createDataFrame(rows, "tree string, population string, parent string, markers array<string>"), "tree")
     assert {r.node: r.depth for r in deep.collect()} == {"All Events": 0, "Singlets": 1, "Live": 2} | {f"p{i}": i + 3 for i in range(80)}
+
+
+def test_content_diversity_of_the_null_group(spark):
+    from evalspan.operators import diversity
+
+    df = spark.createDataFrame([(None, "a b"), (None, "b c"), ("s", "a")], "source string, text string")
+    got = {r.source: (r.n, r.vocabulary, r.type_token_ratio) for r in diversity.content_diversity(df, "text", ["source"]).collect()}
+    assert got == {None: (2, 3, 0.75), "s": (1, 1, 1.0)}
