@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from evalspan.functions.columns import ladder, normal_cdf, r6, ratio, z_quantile
 
-BLOCK = 4096
+#: Rows and replicates drawn at a time.
+BLOCK, REPLICATES_AT_ONCE = 4096, 1000
 
 
-def _uniform(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Uniform numbers per (row id, replicate), by hashing: rows are independent of each other and of the partitioning."""
+def _uniform(ids: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """Uniform numbers per (row id, replicate from first up to last), by hashing: rows are independent of each other and of the partitioning."""
     with np.errstate(over="ignore"):
-        x = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, replicates + 1, dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+        x = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(first + 1, last + 1, dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
@@ -44,8 +45,9 @@ def _sums(weights, columns: Sequence[str], replicates: int, seed: int):
                 acc = held.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, replicates)))
                 ids, x = rows["row_id"].to_numpy(), rows["value"].to_numpy(float)
                 for i in range(0, len(x), BLOCK):
-                    w = weights(_uniform(ids[i : i + BLOCK], replicates, seed))
-                    acc += np.stack([w.sum(0), x[i : i + BLOCK] @ w])
+                    for r in range(0, replicates, REPLICATES_AT_ONCE):
+                        w = weights(_uniform(ids[i : i + BLOCK], r, min(replicates, r + REPLICATES_AT_ONCE), seed))
+                        acc[:, r : r + REPLICATES_AT_ONCE] += np.stack([w.sum(0), x[i : i + BLOCK] @ w])
         rows = [(*key, acc[0].tolist(), acc[1].tolist()) for key, acc in held.items()]
         yield pd.DataFrame(rows, columns=[*columns, "w", "wx"])
 
@@ -61,7 +63,7 @@ def _replicates(df: DataFrame, keys: Sequence[str], row_id: str, value: Column,
     return long.groupBy(*keys, "replicate").agg(F.sum("s.w").alias("w"), F.sum("s.wx").alias("wx"))
 
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Mean, standard error and percentile, basic and bias-corrected intervals per group."""
     c = F.col(value)
     base = df.filter(c.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("m"))
@@ -85,7 +87,7 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str,
     return g.select(*keys, "n", r6(F.col("mean")).alias("mean"), enough(F.col("se")).alias("se"), enough(q(0)).alias("low"), enough(q(1)).alias("high"), enough(2 * F.col("mean") - q(1)).alias("basic_low"), enough(2 * F.col("mean") - q(0)).alias("basic_high"), *(enough(at(F.lit(z))).alias(name) for z, name in bounds))
 
 
-def sign_permutation(pairs: DataFrame, keys: Sequence[str], row_id: str, delta: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def sign_permutation(pairs: DataFrame, keys: Sequence[str], row_id: str, delta: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Paired permutation test: share of random sign flips whose mean difference is as large as the observed one (no correction)."""
     base = pairs.filter(F.col(delta).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(delta).alias("s"))
     signs = lambda u: np.where(u < 0.5, -1.0, 1.0)
@@ -191,7 +193,7 @@ def pass_at_k(df: DataFrame, keys: Sequence[str], passed: Column, ks: Sequence[i
     return out
 
 
-def bootstrap_difference(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_difference(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Difference of the means of two groups with a percentile interval from independent resamples."""
     weights = lambda u: np.searchsorted(_POISSON, u).astype(float)
     side = lambda name: df.filter(F.col(group) == name)
@@ -206,7 +208,7 @@ def bootstrap_difference(df: DataFrame, keys: Sequence[str], group: str, a: str,
     return j.select(*keys, r6(F.col("d")).alias("difference"), r6(low).alias("low"), r6(high).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
 
 
-def label_permutation(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def label_permutation(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Independent permutation test of the mean difference: every row draws its label with the share of group a.
 
     Labels are drawn per row, so a replicate's group sizes vary around the true ones; the difference of

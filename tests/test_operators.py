@@ -322,3 +322,16 @@ def test_content_diversity_of_the_null_group(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "b c"), ("s", "a")], "source string, text string")
     got = {r.source: (r.n, r.vocabulary, r.type_token_ratio) for r in diversity.content_diversity(df, "text", ["source"]).collect()}
     assert got == {None: (2, 3, 0.75), "s": (1, 1, 1.0)}
+
+
+def test_resampling_draws_ten_thousand_replicates(spark):
+    import inspect
+
+    from evalspan.operators import statistics
+
+    for f in (statistics.bootstrap_mean, statistics.bootstrap_difference, statistics.sign_permutation, statistics.label_permutation):
+        assert inspect.signature(f).parameters["replicates"].default == 10_000
+    pairs = spark.range(11).selectExpr("id as row_id", "1.0D as delta")
+    # A mean of eleven equal signs: two of 2,048 outcomes, a p-value that 1,000 replicates can't tell from 0.001.
+    p = statistics.sign_permutation(pairs, [], "row_id", "delta").first().p_value
+    assert 0.0003 < p < 0.0019 and round(p * 10_000, 6) == round(p * 10_000)
