@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _REFERENCE = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
 #: Starts with the hyphen, so that a text is scanned once.
 _BREAK = re.compile(r"[-‐‑­][ \t]*\r?\n\s*")

@@ -237,3 +237,10 @@ def test_findings_have_the_given_columns(spark):
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, SF).columns == columns
     assert Counter(json.loads("[1]")) == Counter([1])
+
+
+def test_tags_of_any_length_are_no_words():
+    from evalspan.llm.words import words
+
+    link = '<a href="https://example.org/' + "path/" * 100 + '" class="x">'
+    assert words(f"one two {link}three</a> four") == ["one", "two", "three", "four"]
