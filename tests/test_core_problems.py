@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 import pyarrow as pa
 
 from evalspan.operators import copy_diff, nested, schema_drift
@@ -119,3 +120,23 @@ def test_shred_keeps_parents_and_positions():
     out = nested.shred(t, "id")
     assert out["x"].select(["id", "node_path", "a"]).to_pylist() == [{"id": 1, "node_path": "0", "a": 1}, {"id": 3, "node_path": "0", "a": 2}, {"id": 3, "node_path": "2", "a": 3}]
     assert out["x.b"].to_pylist() == [{"id": 1, "parent_path": "0", "node_path": "0.0", "c": 5}, {"id": 1, "parent_path": "0", "node_path": "0.1", "c": 6}, {"id": 3, "parent_path": "2", "node_path": "2.0", "c": 7}]
+
+
+def test_trees_beyond_the_decoders_limit(spark):
+    from evalspan.operators import nested as N
+
+    levels = 30_000
+    deep = '{"k": [' * levels + "1" + "]}" * levels
+    with pytest.raises(RecursionError):
+        json.loads(deep)
+    assert N._dumps(N._decode_deep(deep)) == deep
+    for text in ('{"a": [1, -2.5e3, "x\\n", null, true, {}, []], "b": {"c": "}"}}', ' [ ] ', '"s"', "3"):
+        assert N._decode_deep(text) == json.loads(text)
+    for text in ("", "[1,]", '{"a" 1}', "[1] 2", "{,}", "[}", '{"a": }', "]", "[1", "01", "nul"):
+        with pytest.raises(ValueError):
+            N._decode_deep(text)
+    tree = f'{{"name": "r", "note": {deep}, "children": [{{"name": "a"}}]}}'
+    bodies = [f'{{"extractions": {{"gating_hierarchy": {{"m": {{"data": {part}}}}}}}, "best_extraction": {{"gating_hierarchy": "m"}}}}' for part in (json.dumps(tree), tree)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "record_id bigint, body string")
+    got = {(r.record_id, r.name, r.attributes) for r in N.gate_tables(df).filter("kind = 'gate'").collect()}
+    assert got == {(i, *x) for i in (0, 1) for x in (("r", f'{{"note": {deep}}}'), ("a", "{}"))}
