@@ -1,16 +1,29 @@
 """Evaluation passages inside a training corpus.
 
-The evidence for a leak is a run of ``WINDOW`` words, so item and corpus are both cut into windows of
-that size at every word. A window's fingerprint is the 64-bit SimHash of its five-word shingles. The
-items' fingerprints are indexed by ``RADIUS + 1`` blocks of bits: two fingerprints within the radius
-agree in one block at least (they have more blocks than differing bits), so probing every block finds
-all of them. What is found is verified by the exact similarity of the windows' shingles, weighted by
-their rarity among the items, and finally by comparing the words themselves.
-
-Fingerprints are made and probed where a document is read: documents are neither shuffled nor
-collected, and a batch of them is one set of numpy arrays. The index of the items is broadcast. Its
-size is bounded: items are taken in blocks of at most ``BLOCK_CHARS`` characters, one pass over the
-corpus per block, so any number of items is searched.
+An item leaks whole or in part, so windows of two sizes are searched for:
+
+* *item-sized windows*, as long as the item itself, find copies and near copies of whole items. A
+  window's fingerprint is the 64-bit SimHash of its five-word shingles, weighted by their rarity among
+  the items. Fingerprints within ``RADIUS`` bits are found by a multi-index: 64 bits are cut into
+  ``BLOCKS`` blocks, and two fingerprints that differ in at most ``BLOCKS * (NEAR + 1) - 1`` bits have
+  a block that differs in at most ``NEAR`` bits. The items' blocks are indexed under all values within
+  ``NEAR`` bits, so one lookup per block finds every fingerprint within the radius. What is found is
+  verified by the exact weighted similarity of the two windows' shingles (sum of the lesser over sum of
+  the greater number of occurrences).
+* *passages* of ``WINDOW`` words find parts of items. They must agree word for word, so their radius is
+  0 and their index has one block of all 64 bits; the words themselves are compared afterwards, and
+  adjacent hits of an item join to runs.
+
+The corpus is read, cut into words and hashed once, whatever the number of items: a table of all items'
+shingles (one byte per slot, ``TABLE_BITS`` at most) lets those stretches of a document pass that may
+hold a window, and only they are written, as word hashes. The filter loses nothing: a window whose
+weighted similarity reaches 0.8 has at least that share of its weight in known shingles, unknown ones
+weigh most, so at least that share of its shingles is known, and one of the runs of 8 to 15 shingles into
+which it can be cut holds 7 known ones; so does a passage. The items are then searched in blocks of
+bounded size, each of them over the written stretches.
+
+Rows depend neither on the blocks of items nor on those of documents: weights come from all items, and
+a word broken at a line end is one word.
 
 Defined results for odd input: null, empty and shorter texts give no row; items shorter than the
 window can't leak; repeated passages, equal items and copies of documents each count; texts of any
@@ -21,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,15 +43,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspan.llm.words import words
-from evalspan.session import spread
+from evalspan.session import cut_lineage, spread
 
-WINDOW, SHINGLE, RADIUS, SIMILARITY = 12, 5, 3, 0.8
-#: Characters of items in one broadcast index. A word takes some 60 bytes (fingerprint, shingle, tables, the word itself): 50 MB at most.
-BLOCK_CHARS = 4_000_000
-#: Words handled at once (64 counters each) and entries of a worker's table of word hashes.
-CHUNK_WORDS, HASHES = 200_000, 1_000_000
+WINDOW, SHINGLE, SIMILARITY = 12, 5, 0.8
+#: Blocks of bits and the bits by which one of them may differ; together they guarantee the radius.
+BLOCKS, NEAR = 4, 3
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Items of one broadcast index: an item takes 33 kB of neighbouring values, a word some 40 bytes (110 MB at most beside one item).
+BLOCK_ITEMS, BLOCK_CHARS = 2_000, 1_000_000
+#: Slots of the table of shingles, as a power of two (a byte each).
+TABLE_BITS = 26
+#: Words handled at once (64 counters each), pairs compared at once, and entries of a worker's table of word hashes.
+CHUNK_WORDS, CHUNK_PAIRS, HASHES = 100_000, 1_000_000, 1_000_000
+#: Shingles of a passage, and the most that a run of the filter has.
+PASSAGE = WINDOW - SHINGLE + 1
+STRETCH = 2 * PASSAGE - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WIDTH = 64 // BLOCKS
 
 
 class _Hashes(dict):
@@ -50,6 +73,10 @@ class _Hashes(dict):
         return h
 
 
+def word_hashes(tokens: list[str], hashes: _Hashes) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+
+
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
     """Hash of the SHINGLE words from every position, order-dependent and mixed."""
     n = len(h) - SHINGLE + 1
@@ -60,165 +87,296 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(shingles: np.ndarray) -> np.ndarray:
-    """SimHash of the shingles of the window from every position: a bit is the majority of its shingles' bits."""
-    k = WINDOW - SHINGLE + 1
-    if len(shingles) > 2 * CHUNK_WORDS:  # one very long text: parts overlap by a window
-        return np.concatenate([fingerprints(shingles[i : i + CHUNK_WORDS + k - 1]) for i in range(0, len(shingles) - k + 1, CHUNK_WORDS)])
-    n = len(shingles) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    bits = np.unpackbits(np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8), axis=1)
-    sums, width, parts, done = bits, 1, [], 0
-    while done < k:  # sums over 1, 2, 4 .. positions, added up to k
-        if k & width:
-            parts.append(sums[done : done + n])
-            done += width
-        if done < k:
-            sums = sums[:-width] + sums[width:]
-            width *= 2
-    return np.packbits(reduce(np.add, parts) * 2 > k, axis=1).view(np.uint64).ravel()
+class ShingleTable:
+    """Weights of the items' shingles by hashed slot, in eighths; 0 is a shingle of no item.
+
+    weight = log(1 + items / items with the shingle); a shingle of no item weighs as much as one of a
+    single item.
+    """
+
+    def __init__(self, items_with: np.ndarray, n_items: int) -> None:
+        self.shift = np.uint64(64 - (len(items_with).bit_length() - 1))
+        self.top = self._codes(np.ones(1), n_items)[0]
+        self.codes = np.where(items_with > 0, self._codes(np.maximum(items_with, 1), n_items), 0).astype(np.uint8)
+
+    @staticmethod
+    def _codes(df: np.ndarray, n: int) -> np.ndarray:
+        return np.clip(np.rint(8 * np.log1p(n / df)), 1, 255).astype(np.uint8)
+
+    @staticmethod
+    def slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+        return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+    def known(self, shingles: np.ndarray) -> np.ndarray:
+        return self.codes[(shingles >> self.shift).astype(np.int64)]
+
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        code = self.known(shingles)
+        return np.where(code > 0, code, self.top).astype(np.int64)
+
+
+def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of ``size`` shingles from every start (ascending): a bit is the weighted majority of its shingles' bits."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # spans of bounded length, each with running sums of its own
+        first = starts[at]
+        end = np.searchsorted(starts, first + max(CHUNK_WORDS, size))
+        part = starts[at:end] - first
+        span = slice(first, first + part[-1] + size)
+        bits = np.unpackbits(np.ascontiguousarray(shingles[span]).view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.zeros((len(bits) + 1, 64), np.int64)
+        np.cumsum(bits * weights[span, None], axis=0, out=sums[1:])
+        whole = np.concatenate([[0], np.cumsum(weights[span])])
+        for k in range(0, len(part), CHUNK_WORDS):
+            p = part[k : k + CHUNK_WORDS]
+            out[at + k : at + k + len(p)] = np.packbits(2 * (sums[p + size] - sums[p]) > (whole[p + size] - whole[p])[:, None], axis=1).view(np.uint64).ravel()
+        at = end
+    return out
+
+
+def _neighbours() -> np.ndarray:
+    """All patterns of at most NEAR bits of a block."""
+    return np.array([sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(_WIDTH), n)], np.int64)
+
+
+def _block(fps: np.ndarray, b: int) -> np.ndarray:
+    return ((fps >> np.uint64(b * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, position) for lo[row] <= position < hi[row], in parts of about CHUNK_PAIRS (one row's at least)."""
+    n = hi - lo
+    rows = np.flatnonzero(n)
+    cut = np.searchsorted(np.cumsum(n[rows]), np.arange(CHUNK_PAIRS, n.sum() + CHUNK_PAIRS, CHUNK_PAIRS))
+    for part in np.split(rows, np.unique(cut + 1)):
+        if len(part):
+            m = n[part]
+            yield np.repeat(part, m), np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
 
 
 class ItemIndex:
-    """Windows of the items, and for each block of bits the windows in order of the block's value."""
+    """Fingerprints of whole items in neighbouring blocks of bits, and those of their passages in order."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], radius: int = RADIUS) -> None:
+    def __init__(self, ids: list, texts: list[str | None], table: ShingleTable) -> None:
         hashes = _Hashes()
-        self.ids = ids
-        self.words = [words(x) for x in texts]
-        self.vocabulary = frozenset(w for ws in self.words for w in ws)
-        self.radius = radius
-        fps, item, at = [], [], []
-        starts, total = [], 0
-        shingles = []
-        for i, ws in enumerate(self.words):
-            h = np.array([hashes[w] for w in ws], np.uint64)
-            s = shingle_hashes(h)
-            f = fingerprints(s)
-            starts.append(total)
-            total += len(s)
-            shingles.append(s)
-            fps.append(f)
-            item.append(np.full(len(f), i, np.int32))
-            at.append(np.arange(len(f), dtype=np.int32))
+        kept = [(i, h) for i, x in zip(ids, texts) if len(h := word_hashes(words(x), hashes)) >= WINDOW]
+        self.ids = [i for i, _ in kept]
+        self.words = [h for _, h in kept]
+        self.shingles = [shingle_hashes(h) for h in self.words]
+        weights = [table.weights(s) for s in self.shingles]
+        self.bags = [np.unique(s, return_counts=True) for s in self.shingles]
+        self.weight = np.array([w.sum() for w in weights], np.int64)
+        zero = np.zeros(1, np.int64)
+        self.fps = np.array([fingerprints(s, w, zero, len(s))[0] for s, w in zip(self.shingles, weights)], np.uint64)
+        self.size = np.array([len(s) for s in self.shingles], np.int64)
+        self.sizes = np.unique(self.size)
+        masks = _neighbours()
+        self.tables = []
+        for b in range(BLOCKS):  # (size, value of the block) within NEAR bits -> items
+            key = ((np.searchsorted(self.sizes, self.size) << _WIDTH)[:, None] | (_block(self.fps, b)[:, None] ^ masks)).ravel()
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], (order // len(masks)).astype(np.int32)))
+        # Passages: equal fingerprints lie side by side.
+        k = PASSAGE
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.fps, self.item, self.at = join(fps, np.uint64), join(item, np.int32), join(at, np.int32)
-        self.shingles, self.starts = join(shingles, np.uint64), np.array(starts, np.int64)
-        values, counts = np.unique(join([np.unique(s) for s in shingles], np.uint64), return_counts=True)
-        self.known, self.weight = values, np.log1p(len(ids) / counts)
-        self.unknown_weight = float(np.log1p(len(ids)))
-        # Blocks of bits: the width is what radius + 1 blocks leave of 64 bits, 16 at most (a table of starts each).
-        self.width = min(16, 64 // (radius + 1))
-        self.blocks = []
-        for b in range(radius + 1):
-            key = self._block(self.fps, b)
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            self.blocks.append((order, np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32)))
-
-    def _block(self, fps: np.ndarray, b: int) -> np.ndarray:
-        step = 64 // (self.radius + 1)
-        return ((fps >> np.uint64(b * step)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def within_radius(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (position in fps, item window) whose fingerprints differ in ``radius`` bits at most."""
-        left, right = [], []
-        for b, (order, start) in enumerate(self.blocks):
-            key = self._block(fps, b)
-            lo = start[key]
-            n = start[key + 1] - lo
-            hit = np.flatnonzero(n)
-            if not len(hit):
-                continue
-            n = n[hit]
-            i = np.repeat(hit, n)
-            j = order[np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            near = np.bitwise_count(fps[i] ^ self.fps[j]) <= self.radius
-            left.append(i[near])
-            right.append(j[near])
-        if not left:
+        fps = join([fingerprints(s, w, np.arange(len(s) - k + 1), k) for s, w in zip(self.shingles, weights)], np.uint64)
+        order = np.argsort(fps, kind="stable")
+        self.passages = fps[order]
+        self.item = join([np.full(len(s) - k + 1, i, np.int32) for i, s in enumerate(self.shingles)], np.int32)[order]
+        self.at = join([np.arange(len(s) - k + 1, dtype=np.int32) for s in self.shingles], np.int32)[order]
+
+    def within_radius(self, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in fps, item of ``size`` shingles) whose fingerprints differ in RADIUS bits at most."""
+        s = int(np.searchsorted(self.sizes, size))
+        if s == len(self.sizes) or self.sizes[s] != size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        found = [np.zeros((0, 2), np.int64)]
+        for b, (keys, items) in enumerate(self.tables):
+            key = (s << _WIDTH) | _block(fps, b)
+            for i, at in _spans(np.searchsorted(keys, key), np.searchsorted(keys, key, "right")):
+                j = items[at]
+                near = np.bitwise_count(fps[i] ^ self.fps[j]) <= RADIUS
+                found.append(np.stack([i[near], j[near]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(shingles.shape, self.unknown_weight)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], self.unknown_weight)
-
-    def similarity(self, a: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Weighted Jaccard similarity of the shingles ``a`` (rows) and those of the item windows ``j``."""
-        k = WINDOW - SHINGLE + 1
-        b = self.shingles[(self.starts[self.item[j]] + self.at[j])[:, None] + np.arange(k)]
-        common = (a[:, :, None] == b[:, None, :]).any(2)
-        shared = (self.weights(a) * common).sum(1)
-        return shared / (self.weights(a).sum(1) + self.weights(b).sum(1) - shared)
-
-
-def _leaks(index: ItemIndex, doc_ids: list, texts: list[str | None], hashes: _Hashes, similarity: float) -> list[tuple]:
-    """Rows of some documents: doc_id, item_id, windows, similarity, longest_run."""
-    tokens = [words(x, index.vocabulary) for x in texts]
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    flat = [w for t in tokens for w in t]
-    h = np.fromiter((hashes[w] for w in flat), np.uint64, len(flat))
+    def similarity(self, window: np.ndarray, j: int, table: ShingleTable) -> float:
+        """Weighted Jaccard similarity of the shingles of a window and of item ``j``, each counted as often as it occurs."""
+        a, n = np.unique(window, return_counts=True)
+        both, x, y = np.intersect1d(a, self.bags[j][0], assume_unique=True, return_indices=True)
+        shared = (table.weights(both) * np.minimum(n[x], self.bags[j][1][y])).sum()
+        return float(shared / (table.weights(window).sum() + self.weight[j] - shared))
+
+
+def _near_copies(index: ItemIndex, table: ShingleTable, s: np.ndarray, segment: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float]]:
+    """(start, item, similarity) of the item-sized windows that are similar enough."""
+    weights = table.weights(s)
+    inside = segment[: len(s)] == segment[SHINGLE - 1 :]
+    sums = np.concatenate([[0], np.cumsum(weights)])
+    known = np.concatenate([[0], np.cumsum(np.where(inside, table.known(s), 0).astype(np.int64))])
+    for size in index.sizes.tolist():
+        p = np.arange(len(s) - size + 1)
+        p = p[(segment[p] == segment[p + size + SHINGLE - 2]) & (known[p + size] - known[p] >= similarity * (sums[p + size] - sums[p]) - 1e-6)]
+        if len(p):
+            i, j = index.within_radius(fingerprints(s, weights, p, size), size)
+            for start, item in zip(p[i].tolist(), j.tolist()):
+                x = index.similarity(s[start : start + size], item, table)
+                if x >= similarity:
+                    yield start, item, x
+
+
+def _runs(index: ItemIndex, table: ShingleTable, h: np.ndarray, s: np.ndarray, segment: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, item, first word in the item, hits in a row) of the maximal runs of passages."""
+    k = PASSAGE
+    if not len(index.passages) or len(s) < k:
+        return
+    known = np.concatenate([[0], np.cumsum((table.known(s) > 0).astype(np.int64))])
+    p = np.arange(len(s) - k + 1)
+    p = p[(segment[p] == segment[p + WINDOW - 1]) & (known[p + k] - known[p] == k)]
+    fps = fingerprints(s, table.weights(s), p, k)
+    hits = [np.zeros((0, 3), np.int64)]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in index.words])])
+    flat = np.concatenate(index.words)
+    step = np.arange(WINDOW)
+    for i, at in _spans(np.searchsorted(index.passages, fps), np.searchsorted(index.passages, fps, "right")):
+        item, place = index.item[at].astype(np.int64), index.at[at].astype(np.int64)
+        same = np.ones(len(i), bool)
+        for j in step:
+            same &= h[p[i] + j] == flat[offsets[item] + place + j]
+        hits.append(np.stack([item, p[i] - place, p[i]], 1)[same])
+    x = np.concatenate(hits)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] != x[:-1, 2] + 1) | (segment[x[1:, 2]] != segment[x[:-1, 2]])
+    starts = np.flatnonzero(new)
+    if len(starts):
+        yield x[starts, 2], x[starts, 0], x[starts, 2] - x[starts, 1], np.diff(np.append(starts, len(x)))
+
+
+def _leaks(index: ItemIndex, table: ShingleTable, docs: np.ndarray, lengths: np.ndarray, h: np.ndarray, similarity: float) -> list[tuple]:
+    """(document, item, passages, similarity, longest run) of some segments; docs: the document of each of them."""
+    segment = np.repeat(np.arange(len(lengths)), lengths)
     s = shingle_hashes(h)
-    fps = fingerprints(s)
-    if not len(fps):
-        return []
-    doc = np.repeat(np.arange(len(tokens)), sizes)
-    inside = np.flatnonzero(doc[: len(fps)] == doc[WINDOW - 1 : WINDOW - 1 + len(fps)])
-    i, j = index.within_radius(fps[inside])
-    i = inside[i]
-    sim = index.similarity(s[i[:, None] + np.arange(WINDOW - SHINGLE + 1)], j)
-    kept = sim >= similarity
-    i, j, sim = i[kept], j[kept], sim[kept]
     out: dict[tuple[int, int], list] = {}
-    runs: dict[tuple[int, int, int], int] = {}  # (document, item, diagonal) -> end of the run so far
-    length: dict[tuple[int, int, int], int] = {}
-    for p, q, x in zip(i.tolist(), j.tolist(), sim.tolist()):
-        item, at = int(index.item[q]), int(index.at[q])
-        row = out.setdefault((int(doc[p]), item), [0, 0.0, 0])
-        row[0] += 1
-        row[1] = max(row[1], x)
-        if flat[p : p + WINDOW] == index.words[item][at : at + WINDOW]:
-            way = (int(doc[p]), item, p - at)
-            length[way] = length[way] + 1 if runs.get(way) == p - 1 else WINDOW
-            runs[way] = p
-            row[2] = max(row[2], length[way])
-    return [(doc_ids[d], index.ids[item], n, x, run) for (d, item), (n, x, run) in out.items()]
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document (doc_id, text) and item (item_id, text) that share a window.
-
-    Gives doc_id, item_id, windows (pairs of windows found), similarity (the best of them) and
-    longest_run (words in the same order; 0 if no window is the same word for word).
+    for start, item, x in _near_copies(index, table, s, segment, similarity):
+        row = out.setdefault((int(docs[segment[start]]), item), [0, None, 0])
+        row[1] = max(row[1] or 0.0, x)
+    for start, item, _, n in _runs(index, table, h, s, segment):
+        for d, j, m in zip(docs[segment[start]].tolist(), item.tolist(), n.tolist()):
+            row = out.setdefault((d, j), [0, None, 0])
+            row[0] += m
+            row[2] = max(row[2], m + WINDOW - 1)
+    return [(d, index.ids[j], *row) for (d, j), row in out.items()]
+
+
+def stretches(table: ShingleTable, h: np.ndarray, doc: np.ndarray, reach: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of words in which a window can lie, each within one document.
+
+    doc: the document of each word; reach: words of the longest item.
     """
-    spark = documents.sparkSession
+    s = shingle_hashes(h)
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = np.concatenate([[0], np.cumsum((table.known(s) > 0) & (doc[: len(s)] == doc[SHINGLE - 1 :]))])
+    p = np.arange(len(s))
+    p = p[known[np.minimum(p + STRETCH, len(s))] - known[p] >= np.ceil(PASSAGE * similarity - 1e-6)]
+    edge = np.flatnonzero(np.diff(doc, prepend=-1, append=doc[-1] + 1))  # first word of every document, and the end
+    which = np.searchsorted(edge, p, "right")
+    steps = np.zeros(len(h) + 1, np.int64)
+    # A stretch that begins at the end of a document may be the next one's.
+    np.add.at(steps, np.maximum(p - reach, edge[which - 1]), 1)
+    np.add.at(steps, np.minimum(p + STRETCH + SHINGLE + reach, len(h)), -1)
+    covered = np.cumsum(steps[:-1]) > 0
+    first = covered & ((np.diff(covered, prepend=False)) | (np.diff(doc, prepend=-1) != 0))
+    last = covered & ((~np.append(covered[1:], False)) | (np.diff(doc, append=doc[-1] + 1) != 0))
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def suspicious_stretches(documents: DataFrame, table, reach: int, similarity: float) -> DataFrame:
+    """(doc_id, lengths, hashes): word hashes of the stretches of every document (doc_id, text) that may hold a window."""
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+
+        def passed(ids: list, tokens: list[list[str]]) -> list[tuple]:
+            h = word_hashes([w for t in tokens for w in t], hashes)
+            doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            first, end = stretches(table.value, h, doc, reach, similarity)
+            of = doc[first]
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            return [(ids[of[a]], (end[a:b] - first[a:b]).tolist(), np.concatenate([h[x:y] for x, y in zip(first[a:b], end[a:b])]).tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(of)))]
+
+        for part in parts:
+            rows, ids, tokens, held = [], [], [], 0
+            for d, x in zip(part["doc_id"].tolist(), part["text"].tolist()):
+                ids.append(d)
+                tokens.append(words(x) if isinstance(x, str) else [])
+                held += len(tokens[-1])
+                if held >= CHUNK_WORDS:
+                    rows += passed(ids, tokens)
+                    ids, tokens, held = [], [], 0
+            rows += passed(ids, tokens) if held else []
+            yield pd.DataFrame(rows, columns=["doc_id", "lengths", "hashes"]).astype({"doc_id": "Int64"})
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(scan, "doc_id bigint, lengths array<bigint>, hashes binary")
+
+
+def _item_blocks(items: DataFrame) -> Iterator[list]:
+    """Items (item_id, text) in blocks of bounded size."""
+    chars, n = items.agg(F.sum(F.length("text")), F.count("*")).first()
+    n_blocks = max(-(-(chars or 0) // BLOCK_CHARS), -(-n // BLOCK_ITEMS), 1)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for b in range(n_blocks):
+        yield items.filter(block == b).select(F.col("item_id").cast("bigint"), "text").collect()
+
+
+def _table_of(items: DataFrame) -> tuple[ShingleTable, int]:
+    """Table of the shingles of all items, and the words of the longest one."""
+    hashes, n_items, longest = _Hashes(), 0, 0
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // BLOCK_CHARS) or 1
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
-    corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    bits = min(TABLE_BITS, max(16, (16 * int(chars)).bit_length()))  # some hundred slots a word
+    counts = np.zeros(1 << bits, np.uint32)
+    for rows in _item_blocks(items):
+        shingles = []
+        for r in rows:
+            h = word_hashes(words(r[1]), hashes)
+            if len(h) >= WINDOW:
+                longest, n_items = max(longest, len(h)), n_items + 1
+                shingles.append(np.unique(shingle_hashes(h)))
+        for s in shingles:
+            counts[np.unique(ShingleTable.slots(s, bits))] += 1
+    return ShingleTable(counts, n_items), longest
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document (doc_id, text) and item (item_id, text) that share a passage or are near copies.
+
+    Gives doc_id, item_id, windows (passages found), similarity (that of the most similar item-sized
+    window; null below the threshold) and longest_run (words in the same order; 0 without a passage).
+    """
+    spark = documents.sparkSession
+    shingle_table, longest = _table_of(items)
+    table = spark.sparkContext.broadcast(shingle_table)
+    found_in = cut_lineage(suspicious_stretches(spread(documents.select("doc_id", "text")), table, longest, similarity))
     found = []
-    for b in range(n_blocks):
-        rows = items.filter(block == b).select("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], radius))
+    for rows in _item_blocks(items):
+        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], shingle_table))
 
         def search(parts: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            hashes = _Hashes()
             for part in parts:
-                rows: list[tuple] = []
-                ids, texts, held = [], [], 0
-                for d, x in zip(part["doc_id"].tolist(), part["text"].tolist()):
-                    ids.append(d)
-                    texts.append(x if isinstance(x, str) else None)
-                    held += len(texts[-1] or "") // 6
-                    if held >= CHUNK_WORDS:
-                        rows += _leaks(index.value, ids, texts, hashes, similarity)
-                        ids, texts, held = [], [], 0
-                rows += _leaks(index.value, ids, texts, hashes, similarity) if ids else []
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "similarity", "longest_run"])
-
-        found.append(corpus.mapInPandas(search, "doc_id bigint, item_id bigint, windows bigint, similarity double, longest_run int"))
+                ids, out = part["doc_id"].astype("Int64").tolist(), []
+                docs, lengths, hashes, held = [], [], [], 0
+                for d, (n, h) in enumerate(zip(part["lengths"], part["hashes"])):
+                    docs += [d] * len(n)
+                    lengths += list(n)
+                    hashes.append(np.frombuffer(h, np.uint64))
+                    held += len(hashes[-1])
+                    if held >= CHUNK_WORDS or d + 1 == len(ids):
+                        out += _leaks(index.value, table.value, np.array(docs), np.array(lengths), np.concatenate(hashes), similarity)
+                        docs, lengths, hashes, held = [], [], [], 0
+                rows = [(ids[d], *x) for d, *x in out]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "similarity", "longest_run"]).astype({"doc_id": "Int64", "item_id": "Int64", "similarity": "Float64"})
+
+        found.append(found_in.mapInPandas(search, "doc_id bigint, item_id bigint, windows bigint, similarity double, longest_run int"))
     return reduce(DataFrame.unionAll, found)

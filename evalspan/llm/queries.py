@@ -114,21 +114,25 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return found.filter(F.col("longest_run") >= leakage.WINDOW)
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).filter(F.col("longest_run") >= leakage.WINDOW).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of every item: documents that give it away and the longest passage."""
-    leaks = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("longest_run").alias("longest_run"))
+    leaks = _leaks(spark, sf_dir).filter(F.col("longest_run") >= leakage.WINDOW).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("longest_run").alias("longest_run"))
     items = table(spark, sf_dir, "eval_items").select("item_id", "task")
     return items.join(leaks, "item_id", "left").select("item_id", "task", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a copy or near copy of a whole item."""
+    return _leaks(spark, sf_dir).filter("similarity is not null").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "longest_run")
+
+
 # Problem 7: a mixture of sources.
 
 
@@ -159,7 +163,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("level").agg(F.count("*").alias("n_documents"), F.avg("unfamiliar").alias("mean_unfamiliar"), F.avg("sentence_length").alias("mean_sentence_length"))
 
 
-QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
+QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile, "p6_found": p6_found, "p6_items": p6_items, "p6_near": p6_near, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p1_found": p1_found, "p1_golden": p1_golden}
 
 _NUMBER = "CASE WHEN regexp_matches({x}, '[1-9]') THEN regexp_replace(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9]+', '', 'g'), '^({p})', ''), '^0+', '') END"
 _DOI = "regexp_extract(lower(doi), '(10\\.\\d{3,9}/\\S+)', 1)"

@@ -11,7 +11,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _REFERENCE = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
 #: Starts with the hyphen, so that a text is scanned once.
 _BREAK = re.compile(r"[-‐‑­][ \t]*\r?\n\s*")
-_LAST, _FIRST = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
+_LETTER = re.compile(r"[^\W_]")
 #: Everything in ASCII but letters and digits becomes a blank.
 _BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
@@ -32,30 +32,21 @@ def plain_text(text: str) -> str:
     return text.lower()
 
 
-def join_broken(text: str, vocabulary: frozenset[str] | None) -> str:
-    """Joins words broken at a line end.
-
-    A hyphen at a line end may also belong to a compound. With a vocabulary, the parts stay apart if
-    both are in it and the joined word is not; without one, the parts are joined.
-    """
-
+def join_broken(text: str) -> str:
+    """Joins words broken at a line end by a hyphen."""
     if "\n" not in text:
         return text
     parts, end = [], 0
     for m in _BREAK.finditer(text):
-        before = _LAST.search(text, max(0, m.start() - 100), m.start())
-        after = _FIRST.match(text, m.end())
-        if before and after:
-            a, b = before[0], after[0]
-            apart = vocabulary is not None and a + b not in vocabulary and a in vocabulary and b in vocabulary
-            parts += [text[end : m.start()], " " if apart else ""]
+        if m.start() and _LETTER.match(text, m.start() - 1) and _LETTER.match(text, m.end()):
+            parts.append(text[end : m.start()])
             end = m.end()
     return "".join([*parts, text[end:]]) if end else text
 
 
-def words(text: str | None, vocabulary: frozenset[str] | None = None) -> list[str]:
+def words(text: str | None) -> list[str]:
     """Runs of letters and digits of the whole text in their order; [] for null."""
     if not text:
         return []
-    plain = join_broken(plain_text(text), vocabulary)
+    plain = join_broken(plain_text(text))
     return plain.translate(_BLANKS).split() if plain.isascii() else _WORD.findall(plain)

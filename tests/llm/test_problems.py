@@ -1,9 +1,7 @@
 """Training-data operators on small fixtures: odd input, ties, and brute force."""
 
-import json
 import random
 import string
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,7 +27,7 @@ def test_query_runs(spark, name):
 
 def test_words():
     assert words("<p>Stoic-\nhiometric &amp; CD3+ [12] ﬁne­ly</p>\nA_b 20.5") == ["stoichiometric", "cd3", "finely", "a", "b", "20", "5"]
-    assert words("mass-\ncytometric in-\nstrument", frozenset({"mass", "cytometric", "instrument"})) == ["mass", "cytometric", "instrument"]
+    assert words("in-\nstrument -\n x-\n- y") == ["instrument", "x", "y"]
     assert words(None) == words("") == words(" \n-\n ") == []
     assert words("ГОСТ ñandú") == ["гост", "ñandú"]
     assert words("wo­\nrd") == ["word"]
@@ -155,21 +153,43 @@ def test_leaks(spark):
 
 
 def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 60)
-    assert {k for k in leaks(spark, [ITEM], [ITEM, ITEM[::-1]])} == {(0, 100)}
+    """Rows don't depend on the blocks of items: neither the words of a document nor the weights of shingles do."""
+    w = ITEM.split()
+    items = [ITEM, ITEM.replace("sample", "well known sample"), ITEM.replace("sample", "wellknown sample"), " ".join(reversed(w)), ITEM.replace("cells", "cell")]
+    docs = [ITEM, ITEM.replace("sample", "well-\nknown sample"), ITEM.replace("donor", "person"), ITEM * 3, "nothing of it"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    t = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = {tuple(r) for r in leakage.find_leaks(d, t).collect()}
+    assert {i for doc, i, *_, run in one if doc == 1 and run == len(w) + 1} == {2}
+    for chars in (60, 250):
+        monkeypatch.setattr(leakage, "BLOCK_CHARS", chars)
+        assert {tuple(r) for r in leakage.find_leaks(d, t).collect()} == one
+    monkeypatch.setattr(leakage, "CHUNK_WORDS", 7)
+    monkeypatch.setattr(leakage, "CHUNK_PAIRS", 3)
+    assert {tuple(r) for r in leakage.find_leaks(d, t).collect()} == one
+
+
+def index_of(texts):
+    bags = [np.unique(leakage.shingle_hashes(leakage.word_hashes(words(x), leakage._Hashes()))) for x in texts]
+    counts = np.zeros(1 << 16, np.uint32)
+    for b in bags:
+        counts[np.unique(leakage.ShingleTable.slots(b, 16))] += 1
+    table = leakage.ShingleTable(counts, len(texts))
+    return leakage.ItemIndex(list(range(len(texts))), texts, table), table
 
 
 @settings(max_examples=25, deadline=None)
 @given(hs.integers(0, 2**32))
 def test_all_fingerprints_within_the_radius_are_found(seed):
     rng = np.random.default_rng(seed)
-    index = leakage.ItemIndex([1], [" ".join(rng.choice(list(string.ascii_lowercase), 80))])
-    near = index.fps[rng.integers(0, len(index.fps), 30)]
-    for _ in range(3):
+    index, _ = index_of([" ".join(rng.choice(list(string.ascii_lowercase), 40 + i % 3)) for i in range(30)])
+    near = index.fps[rng.integers(0, len(index.fps), 60)]
+    for _ in range(20):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)) * rng.integers(0, 2, len(near)).astype(np.uint64)
-    i, j = index.within_radius(near)
+    size = int(index.sizes[1])
+    i, j = index.within_radius(near, size)
     got = set(zip(i.tolist(), j.tolist()))
-    assert got == {(a, b) for a in range(len(near)) for b in range(len(index.fps)) if int(near[a] ^ index.fps[b]).bit_count() <= 3}
+    assert got == {(a, b) for a in range(len(near)) for b in range(len(index.fps)) if index.size[b] == size and int(near[a] ^ index.fps[b]).bit_count() <= leakage.RADIUS}
 
 
 # 7: mixture
@@ -236,7 +256,6 @@ def test_findings_have_the_given_columns(spark):
     want = {"p1_found": ["group_id", "survivor_id", "best_panel"], "p3_found": ["test_case_id", "ord", "field", "canonical"], "p6_found": ["doc_id", "item_id"], "p8_found": ["doc_id", "level"]}
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, SF).columns == columns
-    assert Counter(json.loads("[1]")) == Counter([1])
 
 
 def test_tags_of_any_length_are_no_words():
