@@ -79,6 +79,11 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Problem 3: typed markers and dyes as names of their lists.
 
+# Greek letters that serve as suffixes, words on the reagent instead of the thing, and "anti-" as a letter.
+GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "σ": "sigma", "ω": "omega"}
+NOISE = ("anti", "human", "mouse", "rat", "dye", "conj", "conjugate", "conjugated", "antibody", "antibodies", "mab", "reagent")
+REAGENTS = canonical_names.Rules(GREEK, NOISE, r"[aα]\s?[-‐‑‒–]")
+
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = table(spark, sf_dir, "marker_list").select(F.lit("marker").alias("list"), F.col("marker").alias("name"))
@@ -96,7 +101,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _typed(spark, sf_dir).select("list", "value").distinct()
-    return canonical_names.canonical_values(values, _names(spark, sf_dir), table(spark, sf_dir, "synonyms"))
+    return canonical_names.canonical_values(values, _names(spark, sf_dir), table(spark, sf_dir, "synonyms"), REAGENTS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def mapped(spark, values, names=("CD3", "CD45RA", "Tarsolin alpha", "Tarsolin be
     n = spark.createDataFrame([("l", x) for x in names], "list string, name string")
     s = spark.createDataFrame(list(synonyms), "synonym string, canonical string")
     v = spark.createDataFrame([("l", x) for x in values], "list string, value string")
-    return {r.value: r.canonical for r in canonical_names.canonical_values(v, n, s).collect()}
+    return {r.value: r.canonical for r in canonical_names.canonical_values(v, n, s, queries.REAGENTS).collect()}
 
 
 def test_canonical_values(spark):
