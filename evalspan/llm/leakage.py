@@ -115,24 +115,23 @@ class ShingleTable:
         return np.where(code > 0, code, self.top).astype(np.int64)
 
 
-def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of ``size`` shingles from every start (ascending): a bit is the weighted majority of its shingles' bits."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # spans of bounded length, each with running sums of its own
-        first = starts[at]
-        end = np.searchsorted(starts, first + max(CHUNK_WORDS, size))
-        part = starts[at:end] - first
-        span = slice(first, first + part[-1] + size)
-        bits = np.unpackbits(np.ascontiguousarray(shingles[span]).view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(bits) + 1, 64), np.int64)
-        np.cumsum(bits * weights[span, None], axis=0, out=sums[1:])
-        whole = np.concatenate([[0], np.cumsum(weights[span])])
-        for k in range(0, len(part), CHUNK_WORDS):
-            p = part[k : k + CHUNK_WORDS]
-            out[at + k : at + k + len(p)] = np.packbits(2 * (sums[p + size] - sums[p]) > (whole[p + size] - whole[p])[:, None], axis=1).view(np.uint64).ravel()
-        at = end
-    return out
+class Sums:
+    """Running sums of the shingles' weights and of their weighted bits: the SimHash of any run of them is one difference."""
+
+    def __init__(self, shingles: np.ndarray, weights: np.ndarray) -> None:
+        small = len(shingles) < 2**31 // 255
+        bits = np.unpackbits(np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8), axis=1)
+        self.bits = np.zeros((len(bits) + 1, 64), np.int32 if small else np.int64)
+        np.cumsum(bits * weights.astype(self.bits.dtype)[:, None], axis=0, out=self.bits[1:])
+        self.whole = np.concatenate([[0], np.cumsum(weights)])
+
+    def fingerprints(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """SimHash of ``size`` shingles from every start: a bit is the weighted majority of its shingles' bits."""
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(0, len(starts), CHUNK_WORDS):
+            p = starts[k : k + CHUNK_WORDS]
+            out[k : k + len(p)] = np.packbits(2 * (self.bits[p + size] - self.bits[p]) > (self.whole[p + size] - self.whole[p])[:, None], axis=1).view(np.uint64).ravel()
+        return out
 
 
 def _neighbours() -> np.ndarray:
@@ -163,12 +162,19 @@ class ItemIndex:
         kept = [(i, h) for i, x in zip(ids, texts) if len(h := word_hashes(words(x), hashes)) >= WINDOW]
         self.ids = [i for i, _ in kept]
         self.words = [h for _, h in kept]
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.offsets = np.cumsum([0, *map(len, self.words)])
         self.shingles = [shingle_hashes(h) for h in self.words]
         weights = [table.weights(s) for s in self.shingles]
         self.bags = [np.unique(s, return_counts=True) for s in self.shingles]
         self.weight = np.array([w.sum() for w in weights], np.int64)
-        zero = np.zeros(1, np.int64)
-        self.fps = np.array([fingerprints(s, w, zero, len(s))[0] for s, w in zip(self.shingles, weights)], np.uint64)
+        k = PASSAGE
+        whole, parts = [], []
+        for s, w in zip(self.shingles, weights):
+            sums = Sums(s, w)
+            whole.append(sums.fingerprints(np.zeros(1, np.int64), len(s))[0])
+            parts.append(sums.fingerprints(np.arange(len(s) - k + 1), k))
+        self.fps = np.array(whole, np.uint64)
         self.size = np.array([len(s) for s in self.shingles], np.int64)
         self.sizes = np.unique(self.size)
         masks = _neighbours()
@@ -178,9 +184,8 @@ class ItemIndex:
             order = np.argsort(key, kind="stable")
             self.tables.append((key[order], (order // len(masks)).astype(np.int32)))
         # Passages: equal fingerprints lie side by side.
-        k = PASSAGE
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        fps = join([fingerprints(s, w, np.arange(len(s) - k + 1), k) for s, w in zip(self.shingles, weights)], np.uint64)
+        fps = join(parts, np.uint64)
         order = np.argsort(fps, kind="stable")
         self.passages = fps[order]
         self.item = join([np.full(len(s) - k + 1, i, np.int32) for i, s in enumerate(self.shingles)], np.int32)[order]
@@ -209,64 +214,62 @@ class ItemIndex:
         return float(shared / (table.weights(window).sum() + self.weight[j] - shared))
 
 
-def _near_copies(index: ItemIndex, table: ShingleTable, s: np.ndarray, segment: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float]]:
-    """(start, item, similarity) of the item-sized windows that are similar enough."""
-    weights = table.weights(s)
-    inside = segment[: len(s)] == segment[SHINGLE - 1 :]
-    sums = np.concatenate([[0], np.cumsum(weights)])
-    known = np.concatenate([[0], np.cumsum(np.where(inside, table.known(s), 0).astype(np.int64))])
+def _near_copies(index: ItemIndex, table: ShingleTable, s: np.ndarray, segment: np.ndarray, known: np.ndarray, sums: Sums, most: int, similarity: float) -> Iterator[tuple[int, int, float]]:
+    """(start, item, similarity) of the item-sized windows from the first ``most`` words on that are similar enough."""
     for size in index.sizes.tolist():
-        p = np.arange(len(s) - size + 1)
-        p = p[(segment[p] == segment[p + size + SHINGLE - 2]) & (known[p + size] - known[p] >= similarity * (sums[p + size] - sums[p]) - 1e-6)]
+        p = np.arange(min(len(s) - size + 1, most))
+        p = p[(segment[p] == segment[p + size + SHINGLE - 2]) & (known[p + size] - known[p] >= similarity * (sums.whole[p + size] - sums.whole[p]) - 1e-6)]
         if len(p):
-            i, j = index.within_radius(fingerprints(s, weights, p, size), size)
+            i, j = index.within_radius(sums.fingerprints(p, size), size)
             for start, item in zip(p[i].tolist(), j.tolist()):
                 x = index.similarity(s[start : start + size], item, table)
                 if x >= similarity:
                     yield start, item, x
 
 
-def _runs(index: ItemIndex, table: ShingleTable, h: np.ndarray, s: np.ndarray, segment: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first word, item, first word in the item, hits in a row) of the maximal runs of passages."""
+def _passages(index: ItemIndex, h: np.ndarray, s: np.ndarray, segment: np.ndarray, known: np.ndarray, sums: Sums, most: int) -> Iterator[np.ndarray]:
+    """(item, first word - first word in the item, first word) of the passages from the first ``most`` words on, word for word."""
     k = PASSAGE
-    if not len(index.passages) or len(s) < k:
-        return
-    known = np.concatenate([[0], np.cumsum((table.known(s) > 0).astype(np.int64))])
-    p = np.arange(len(s) - k + 1)
+    p = np.arange(min(max(len(s) - k + 1, 0), most))
     p = p[(segment[p] == segment[p + WINDOW - 1]) & (known[p + k] - known[p] == k)]
-    fps = fingerprints(s, table.weights(s), p, k)
-    hits = [np.zeros((0, 3), np.int64)]
-    offsets = np.concatenate([[0], np.cumsum([len(w) for w in index.words])])
-    flat = np.concatenate(index.words)
-    step = np.arange(WINDOW)
+    fps = sums.fingerprints(p, k)
     for i, at in _spans(np.searchsorted(index.passages, fps), np.searchsorted(index.passages, fps, "right")):
         item, place = index.item[at].astype(np.int64), index.at[at].astype(np.int64)
         same = np.ones(len(i), bool)
-        for j in step:
-            same &= h[p[i] + j] == flat[offsets[item] + place + j]
-        hits.append(np.stack([item, p[i] - place, p[i]], 1)[same])
-    x = np.concatenate(hits)
-    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] != x[:-1, 2] + 1) | (segment[x[1:, 2]] != segment[x[:-1, 2]])
-    starts = np.flatnonzero(new)
-    if len(starts):
-        yield x[starts, 2], x[starts, 0], x[starts, 2] - x[starts, 1], np.diff(np.append(starts, len(x)))
+        for j in range(WINDOW):
+            same &= h[p[i] + j] == index.flat[index.offsets[item] + place + j]
+        yield np.stack([item, p[i] - place, p[i]], 1)[same]
 
 
 def _leaks(index: ItemIndex, table: ShingleTable, docs: np.ndarray, lengths: np.ndarray, h: np.ndarray, similarity: float) -> list[tuple]:
     """(document, item, passages, similarity, longest run) of some segments; docs: the document of each of them."""
-    segment = np.repeat(np.arange(len(lengths)), lengths)
-    s = shingle_hashes(h)
     out: dict[tuple[int, int], list] = {}
-    for start, item, x in _near_copies(index, table, s, segment, similarity):
-        row = out.setdefault((int(docs[segment[start]]), item), [0, None, 0])
-        row[1] = max(row[1] or 0.0, x)
-    for start, item, _, n in _runs(index, table, h, s, segment):
-        for d, j, m in zip(docs[segment[start]].tolist(), item.tolist(), n.tolist()):
-            row = out.setdefault((d, j), [0, None, 0])
-            row[0] += m
-            row[2] = max(row[2], m + WINDOW - 1)
+    if not len(index.ids):
+        return []
+    segment = np.repeat(np.arange(len(lengths)), lengths)
+    shingles = shingle_hashes(h)
+    reach = int(index.sizes[-1])
+    hits = [np.zeros((0, 3), np.int64)]
+    for at in range(0, len(shingles), CHUNK_WORDS):  # spans that overlap by a window
+        s, own = shingles[at : at + CHUNK_WORDS + reach], segment[at : at + CHUNK_WORDS + reach + SHINGLE]
+        code = table.known(s)
+        inside = own[: len(s)] == own[SHINGLE - 1 : SHINGLE - 1 + len(s)]
+        weight = np.concatenate([[0], np.cumsum(np.where(inside, code, 0).astype(np.int64))])
+        known = np.concatenate([[0], np.cumsum((code > 0) & inside)])
+        sums = Sums(s, np.where(code > 0, code, table.top).astype(np.int64))
+        for start, item, x in _near_copies(index, table, s, own, weight, sums, CHUNK_WORDS, similarity):
+            row = out.setdefault((int(docs[own[start]]), item), [0, None, 0])
+            row[1] = max(row[1] or 0.0, x)
+        hits += [x + np.array([0, at, at]) for x in _passages(index, h[at : at + CHUNK_WORDS + reach + SHINGLE], s, own, known, sums, CHUNK_WORDS)]
+    x = np.concatenate(hits)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    new = np.ones(len(x), bool)  # whether a hit starts a run
+    new[1:] = (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] != x[:-1, 2] + 1) | (segment[x[1:, 2]] != segment[x[:-1, 2]])
+    starts = np.flatnonzero(new)
+    for d, item, n in zip(docs[segment[x[starts, 2]]].tolist(), x[starts, 0].tolist(), np.diff(np.append(starts, len(x))).tolist()):
+        row = out.setdefault((d, item), [0, None, 0])
+        row[0] += n
+        row[2] = max(row[2], n + WINDOW - 1)
     return [(d, index.ids[j], *row) for (d, j), row in out.items()]
 
 
