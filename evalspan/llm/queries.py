@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspan.llm import canonical_names, leakage, mixture, reading_level, survivors
+from evalspan.session import cut_lineage
 from evalspan.sources.tables import table
 
 # Problem 1: one record per paper.
@@ -31,8 +32,7 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _chosen_method("panel").alias("best_panel"),
         _chosen_method("gating_hierarchy").alias("best_gating"),
     )
-    groups = survivors.duplicate_groups(ranked, "extraction_id", {k: F.col(k) for k in keys})
-    return ranked.join(groups.withColumnRenamed("record_id", "extraction_id"), "extraction_id")
+    return survivors.with_roots(cut_lineage(ranked), "extraction_id", {k: F.col(k) for k in keys})
 
 
 def _chosen_method(part: str) -> Column:
@@ -47,13 +47,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = [F.col(c) for c in _TRUST]
     best = survivors.best_representatives(
         _papers(spark, sf_dir),
-        "group",
+        "root",
         [
             survivors.Bundle("representative", {"extraction_id": F.col("extraction_id")}, trust),
             survivors.Bundle("panel", {"value": F.col("best_panel")}, trust, F.col("best_panel").isNotNull()),
         ],
+        record_id="extraction_id",
     )
-    return best.filter("n_records >= 2").select(F.col("group").alias("group_id"), F.col("representative.extraction_id").alias("survivor_id"), F.coalesce("panel.value", F.lit("")).alias("best_panel"))
+    return best.filter("n_records >= 2").select(F.col("first_id").alias("group_id"), F.col("representative.extraction_id").alias("survivor_id"), F.coalesce("panel.value", F.lit("")).alias("best_panel"))
 
 
 def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.size(F.array_compact(F.array("omip", "pmc", "doi")))
     best = survivors.best_representatives(
         _papers(spark, sf_dir),
-        "group",
+        "root",
         [
             survivors.Bundle("ids", {"omip": F.col("omip"), "pmc": F.col("pmc"), "doi": F.col("doi")}, [filled / 3, *trust]),
             survivors.Bundle("citation", {"title": F.col("title"), "pmc": F.col("pmc")}, trust, F.col("title").isNotNull()),
@@ -70,9 +71,10 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
             survivors.Bundle("gating", {"method": F.col("best_gating"), "model": F.col("model")}, trust, F.col("best_gating").isNotNull()),
         ],
         [survivors.Dependency("ids", "pmc", "citation", "pmc"), survivors.Dependency("panel", "model", "gating", "model")],
+        "extraction_id",
     )
     return best.select(
-        F.col("group").alias("group_id"), "n_records", "ids.omip", "ids.pmc", "ids.doi", "citation.title",
+        F.col("first_id").alias("group_id"), "n_records", "ids.omip", "ids.pmc", "ids.doi", "citation.title",
         F.col("panel.method").alias("panel_method"), F.col("panel.model").alias("panel_model"), F.col("gating.method").alias("gating_method"), F.col("gating.model").alias("gating_model"),
     )
 
@@ -183,8 +185,28 @@ x AS (SELECT grp, extraction_id, extracted_at, CASE WHEN lower(trim(best_extract
   FROM extractions JOIN g ON id = extraction_id)
 SELECT grp AS group_id, arg_max(extraction_id, {_ORDER}) AS survivor_id, coalesce(arg_max(best, {_ORDER}) FILTER (WHERE best IS NOT NULL), '') AS best_panel FROM x GROUP BY grp HAVING count(*) >= 2"""
 
+# The same choice by brute force: every pair of candidates of two linked bundles that agree in the linking value.
+_PMC, _OMIP = _NUMBER.format(x="pmc_id", p="(PMCID)?(PMC)?"), _NUMBER.format(x="omip_id", p="OMIP")
+_DOI_KEY = f"CASE WHEN regexp_matches(regexp_replace({_DOI}, '^[^/]*/', ''), '[1-9]') THEN regexp_extract({_DOI}, '^10\\.(\\d+)/', 1) || '/' || regexp_replace(regexp_replace({_DOI}, '^[^/]*/', ''), '[^a-z0-9]+', '', 'g') END"
+_P1_GOLDEN = _P1[: _P1.index("x AS (")] + f"""
+x AS (SELECT grp, extraction_id, extracted_at, model, title, {_OMIP} AS omip, {_PMC} AS pmc, {_DOI_KEY} AS doi,
+  CASE WHEN lower(trim(best_extraction.panel)) NOT IN ('', 'none', 'null') THEN lower(trim(best_extraction.panel)) END AS panel,
+  CASE WHEN lower(trim(best_extraction.gating_hierarchy)) NOT IN ('', 'none', 'null') THEN lower(trim(best_extraction.gating_hierarchy)) END AS gating,
+  coalesce(list_max(list_filter(list_transform(concordance.panel, lambda p: p.score), lambda s: s >= 0 AND s <= 1)), -1e300) AS score,
+  len(list_distinct(list_filter(flatten(list_transform(coalesce(concordance.panel, []), lambda p: string_split_regex(lower(coalesce(p.methods, '')), '[\\s_-]+vs[\\s_-]+'))), lambda m: m <> ''))) AS n_methods
+  FROM extractions JOIN (SELECT extraction_id AS id, coalesce(grp, extraction_id) AS grp FROM extractions LEFT JOIN g ON id = extraction_id) ON id = extraction_id),
+k2 AS (SELECT *, (CAST(omip IS NOT NULL AS INT) + CAST(pmc IS NOT NULL AS INT) + CAST(doi IS NOT NULL AS INT)) / 3 AS filled FROM x),
+ic AS (SELECT a.grp, row_number() OVER (PARTITION BY a.grp ORDER BY (b.grp IS NOT NULL) DESC, a.filled + greatest(coalesce(b.score, 0), 0) DESC, a.filled DESC, a.score DESC NULLS LAST, a.n_methods DESC NULLS LAST, a.extracted_at DESC NULLS LAST, a.extraction_id DESC NULLS LAST, b.score DESC NULLS LAST, b.n_methods DESC NULLS LAST, b.extracted_at DESC NULLS LAST, b.extraction_id DESC NULLS LAST) AS place, a.omip, a.pmc, a.doi, b.title
+  FROM k2 a LEFT JOIN k2 b ON a.grp = b.grp AND a.pmc IS NOT DISTINCT FROM b.pmc AND b.title IS NOT NULL),
+p2 AS (SELECT *, EXISTS (SELECT 1 FROM k2 c WHERE c.grp = k2.grp AND c.panel IS NOT NULL AND c.gating IS NOT NULL AND c.model IS NOT DISTINCT FROM k2.model) AS paired FROM k2 WHERE panel IS NOT NULL), g2 AS (SELECT * FROM k2 WHERE gating IS NOT NULL),
+pc AS (SELECT coalesce(a.grp, b.grp) AS grp, row_number() OVER (PARTITION BY coalesce(a.grp, b.grp) ORDER BY (a.grp IS NOT NULL AND b.grp IS NOT NULL) DESC, greatest(coalesce(a.score, 0), 0) + greatest(coalesce(b.score, 0), 0) DESC, a.score DESC NULLS LAST, a.n_methods DESC NULLS LAST, a.extracted_at DESC NULLS LAST, a.extraction_id DESC NULLS LAST, b.score DESC NULLS LAST, b.n_methods DESC NULLS LAST, b.extracted_at DESC NULLS LAST, b.extraction_id DESC NULLS LAST) AS place, a.panel AS panel_method, a.model AS panel_model, b.gating AS gating_method, b.model AS gating_model
+  FROM p2 a FULL JOIN g2 b ON a.grp = b.grp AND a.model IS NOT DISTINCT FROM b.model AND a.paired),
+n AS (SELECT grp, count(*) AS n_records FROM x GROUP BY grp)
+SELECT n.grp AS group_id, n.n_records, ic.omip, ic.pmc, ic.doi, ic.title, pc.panel_method, pc.panel_model, pc.gating_method, pc.gating_model
+FROM n JOIN ic ON ic.grp = n.grp AND ic.place = 1 LEFT JOIN pc ON pc.grp = n.grp AND pc.place = 1"""
+
 _CLEAN = r"lower(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '), '<[^<>]*>', ' ', 'g'), '\[\s*\d+(\s*[,;–-]\s*\d+)*\s*\]', ' ', 'g'), 'ﬁ', 'fi'), chr(160), ' '), '\x{00ad}(\s*\n\s*)?', '', 'g'), '([\p{L}\p{N}])[-‐‑][ \t]*\n\s*([\p{L}\p{N}])', '\1\2', 'g'))"
 _WINDOWS = "(SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) AS x FROM (SELECT @id AS id, regexp_extract_all(" + _CLEAN + r", '[\p{L}\p{N}]+') AS w FROM @table WHERE text IS NOT NULL) WHERE len(w) >= 12)"
 _P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_WINDOWS.replace('@id', 'doc_id').replace('@table', 'documents')} d JOIN {_WINDOWS.replace('@id', 'item_id').replace('@table', 'eval_items')} i ON d.x = i.x"
 
-ORACLES: dict[str, str] = {"p1_found": _P1, "p6_found": _P6}
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_golden": _P1_GOLDEN, "p6_found": _P6}

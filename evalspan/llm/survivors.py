@@ -14,18 +14,18 @@ chosen x in some record of the group. Bundles are branched one after the other,
   occur in the group, so no cross product within a group arises;
 * dominance: of the partial choices that look alike to the remaining dependencies, the most trusted
   one is kept (an aggregate that combines before the shuffle);
-* bound: a partial choice that cannot reach the trust of the best single record, even with the best
-  candidates of all remaining bundles, is cut. A single record always obeys the dependencies, so it is
-  a valid first solution.
+* bound: a partial choice that cannot reach the best single record, even with the best candidates of all
+  remaining bundles, is cut. A single record always obeys the dependencies, so it is a valid first solution.
 
-Trust is an array of numbers per record and bundle. The first number is summed over the bundles of a
-component (bundles linked by dependencies) and is maximised; ties fall to the rest, bundle by bundle.
+Of the consistent choices the most complete one wins (most bundles of a component, i.e. of bundles linked
+by dependencies); among those the most trusted one. Trust is an array of numbers per record and bundle. The
+first number is summed over the bundles of a component and is maximised; ties fall to the rest, bundle by bundle.
 Bundles without dependencies are components of their own: there the greatest array wins.
 
 Defined results for odd input: a record without any identifier is a group of its own; null trust
 counts as less than any number, NaN as null; null values are values in a dependency; a bundle for
-which no record of the group is usable is null; with dependencies, a bundle without a candidate
-that fits is null (and adds no trust); an empty table gives an empty table; ties in all numbers fall
+which no record of the group is usable is null and sets no condition on others; where no consistent choice
+fills all bundles, those of the less trusted choice are null; an empty table gives an empty table; ties in all numbers fall
 to the greatest payload; extra columns are ignored.
 """
 
@@ -84,15 +84,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def duplicate_groups(records: DataFrame, record_id: str, keys: dict[str, Column]) -> DataFrame:
-    """(record_id, group): the least record id among all records connected by equal keys of the same name."""
+def with_roots(records: DataFrame, record_id: str, keys: dict[str, Column]) -> DataFrame:
+    """Records with ``root``, equal for all that are connected by equal keys of the same name."""
     typed = F.array_compact(F.array(*(F.concat(F.lit(f"{name}:"), k) for name, k in keys.items())))
-    keyed = records.select(F.col(record_id).alias("record_id"), typed.alias("keys"))
-    sets = keyed.filter(F.size("keys") > 1).select("keys").distinct()
-    edges = sets.select(F.get("keys", F.lit(0)).alias("u"), F.explode(F.slice("keys", 2, len(keys))).alias("v"))
+    keyed = records.withColumn("__keys", typed)
+    sets = keyed.filter(F.size("__keys") > 1).select("__keys").distinct()
+    edges = sets.select(F.get("__keys", F.lit(0)).alias("u"), F.explode(F.slice("__keys", 2, len(keys))).alias("v"))
     roots = components(edges)
-    first = keyed.select("record_id", F.coalesce(F.get("keys", F.lit(0)), F.concat(F.lit("-:"), F.col("record_id").cast("string"))).alias("key"))
-    rooted = first.join(roots, F.col("key") == F.col("node"), "left").select("record_id", F.coalesce("root", "key").alias("root"))
+    first = keyed.withColumn("__key", F.coalesce(F.get("__keys", F.lit(0)), F.concat(F.lit("-:"), F.col(record_id).cast("string"))))
+    rooted = first.join(roots, F.col("__key") == F.col("node"), "left")
+    return rooted.withColumn("root", F.coalesce("root", "__key")).drop("__keys", "__key", "node")
+
+
+def duplicate_groups(records: DataFrame, record_id: str, keys: dict[str, Column]) -> DataFrame:
+    """(record_id, group): the least record id among all records connected by equal keys of the same name."""
+    rooted = with_roots(records.select(F.col(record_id).alias("record_id"), *(k.alias(f"__{n}") for n, k in keys.items())), "record_id", {n: F.col(f"__{n}") for n in keys}).select("record_id", "root")
     least = rooted.groupBy("root").agg(F.min("record_id").alias("group")).withColumnRenamed("root", "r")
     return rooted.join(least, F.col("root") == F.col("r")).select("record_id", "group")
 
@@ -135,50 +141,61 @@ def _parts(bundles: Sequence[Bundle], dependencies: Sequence[Dependency]) -> lis
 
 
 def _search(candidates: DataFrame, part: list[Bundle], dependencies: Sequence[Dependency]) -> DataFrame:
-    """Best consistent choice of linked bundles per group: (group, one struct per bundle)."""
+    """Best consistent choice of linked bundles per group: (group, one struct per bundle, null where nothing is chosen)."""
     names = [b.name for b in part]
     links = [d for d in dependencies if d.a in names]
     order = {n: i for i, n in enumerate(names)}
-    scalar = lambda n: F.when(F.col(n).isNull(), 0.0).otherwise(F.greatest(F.get(F.col(n)["trust"], F.lit(0)), F.lit(0.0)))
+    here = {n: F.col(n).isNotNull().cast("int") for n in names}
+    scalar = {n: F.when(F.col(n).isNull(), 0.0).otherwise(F.greatest(F.get(F.col(n)["trust"], F.lit(0)), F.lit(0.0))) for n in names}
+    worth = lambda chosen: F.struct(reduce(Column.__add__, [here[n] for n in chosen]).alias("bundles"), reduce(Column.__add__, [scalar[n] for n in chosen]).alias("trust"))
     # The best single record is the first solution; the best candidate of every bundle gives the bounds.
-    limits = candidates.groupBy("group").agg(F.max(reduce(Column.__add__, map(scalar, names))).alias("incumbent"), *(F.max(scalar(n)).alias(f"best_{n}") for n in names)).withColumnRenamed("group", "g")
+    limits = candidates.groupBy("group").agg(F.max(worth(names)).alias("first"), *(F.max(scalar[n]).alias(f"best_{n}") for n in names), *(F.max(here[n]).alias(f"any_{n}") for n in names)).withColumnRenamed("group", "g")
     ends = {n: sorted({d.x for d in links if d.a == n} | {d.y for d in links if d.b == n}) for n in names}
-    value = lambda n, f: F.coalesce(F.to_json(F.struct(F.col(n)["row"][f].alias("v"))), F.lit("-"))
+    value = lambda n, f: F.when(F.col(n).isNotNull(), F.to_json(F.struct(F.col(n)["row"][f].alias("v"))))
 
     def options(n: str) -> DataFrame:
         at = [value(n, f).alias(f"{n}__{f}") for f in ends[n]]
         return candidates.filter(F.col(n).isNotNull()).select("group", *at, n).groupBy("group", *(f"{n}__{f}" for f in ends[n])).agg(F.max(n).alias(n))
 
-    def total(chosen: list[str]) -> Column:
-        return reduce(Column.__add__, map(scalar, chosen))
+    def or_nothing(found: DataFrame, state: DataFrame, n: str) -> DataFrame:
+        missing = [c for c in found.columns if c not in state.columns]
+        return found.unionByName(state.select("*", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in missing)))
 
-    groups = candidates.select("group").distinct()
-    state = groups.join(options(names[0]).withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").drop("g")
+    state = or_nothing(options(names[0]), candidates.select("group").distinct(), names[0])
     for i, n in enumerate(names[1:], 1):
         mine = [d for d in links if n in (d.a, d.b) and order[d.b if d.a == n else d.a] < i]
         there = sorted({(d.b, d.y) if d.a == n else (d.a, d.x) for d in mine})
-        here = sorted({d.x if d.a == n else d.y for d in mine})
-        occurring = candidates.filter(F.col(n).isNotNull()).select(F.col("group").alias("g"), *(value(m, f).alias(f"t__{m}__{f}") for m, f in there), *(value(n, f).alias(f"h__{f}") for f in here)).distinct()
+        own = sorted({d.x if d.a == n else d.y for d in mine})
+        # Values that occur together; a bundle that was left out ('*') sets no condition.
+        at = [F.array_compact(F.array(value(m, f), F.lit("*"))) for m, f in there]
+        pairs = candidates.filter(F.col(n).isNotNull()).select(F.col("group").alias("g"), *(value(n, f).alias(f"h__{f}") for f in own), *(x.alias(f"t__{m}__{f}") for x, (m, f) in zip(at, there)))
+        for m, f in there:
+            pairs = pairs.withColumn(f"t__{m}__{f}", F.explode(f"t__{m}__{f}"))
         option = options(n).withColumnRenamed("group", "og")
-        fitting = occurring.join(option, (F.col("g") == F.col("og")) & reduce(Column.__and__, [F.col(f"h__{f}") == F.col(f"{n}__{f}") for f in here])).drop("og")
-        on = (F.col("group") == F.col("g")) & reduce(Column.__and__, [F.coalesce(F.col(f"{m}__{f}"), F.lit("-")) == F.col(f"t__{m}__{f}") for m, f in there])
+        fitting = pairs.distinct().join(option, F.col("g").eqNullSafe(F.col("og")) & reduce(Column.__and__, [F.col(f"h__{f}") == F.col(f"{n}__{f}") for f in own])).drop("og")
+        on = F.col("group").eqNullSafe(F.col("g")) & reduce(Column.__and__, [F.coalesce(F.col(f"{m}__{f}"), F.lit("*")) == F.col(f"t__{m}__{f}") for m, f in there])
         chosen, rest = names[: i + 1], names[i + 1 :]
-        state = state.join(fitting, on, "left").select(*state.columns, *(c for c in option.columns if c != "og"))
-        hope = reduce(Column.__add__, [F.col(f"best_{m}") for m in rest], total(chosen))
-        state = state.join(limits, F.col("group") == F.col("g")).filter(hope >= F.col("incumbent") - 1e-9).select(*state.columns)
+        found = state.join(fitting, on).select(*state.columns, *(c for c in option.columns if c != "og"))
+        bounded = or_nothing(found, state, n).join(limits, F.col("group").eqNullSafe(F.col("g")))
+        hope = F.struct(reduce(Column.__add__, [F.col(f"any_{m}") for m in rest], worth(chosen)["bundles"]).alias("bundles"), (reduce(Column.__add__, [F.col(f"best_{m}") for m in rest], worth(chosen)["trust"]) + 1e-9).alias("trust"))
         live = [f"{m}__{f}" for m in chosen for f in ends[m] if any(f == (d.x if d.a == m else d.y) and m in (d.a, d.b) and (d.b if d.a == m else d.a) in rest for d in links)]
-        state = state.groupBy("group", *live).agg(F.max(F.struct(total(chosen).alias("total"), *chosen)).alias("s")).select("group", *live, *(F.col("s")[m].alias(m) for m in chosen))
-    return state.groupBy("group").agg(F.max(F.struct(total(names).alias("total"), *names)).alias("s")).select("group", *(F.col("s")[m].alias(m) for m in names))
+        kept = bounded.filter(hope >= F.col("first")).groupBy("group", *live).agg(F.max(F.struct(worth(chosen).alias("worth"), *chosen)).alias("s"))
+        state = kept.select("group", *live, *(F.col("s")[m].alias(m) for m in chosen))
+    return state.groupBy("group").agg(F.max(F.struct(worth(names).alias("worth"), *names)).alias("s")).select("group", *(F.col("s")[m].alias(m) for m in names))
 
 
-def best_representatives(records: DataFrame, group: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = ()) -> DataFrame:
-    """One row per group: ``group``, ``n_records`` and one struct per bundle with the chosen fields."""
-    candidates = records.select(F.col(group).alias("group"), *(_candidate(b).alias(b.name) for b in bundles))
+def best_representatives(records: DataFrame, group: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = (), record_id: str | None = None) -> DataFrame:
+    """One row per group: ``group``, ``n_records``, with ``record_id`` the least ``first_id``, and one struct per bundle with the chosen fields."""
+    extra = [F.col(record_id).alias("__id")] if record_id else []
+    candidates = records.select(F.col(group).alias("group"), *extra, *(_candidate(b).alias(b.name) for b in bundles))
     parts = _parts(bundles, dependencies)
+    if any(len(p) > 1 for p in parts):
+        candidates = cut_lineage(candidates)  # read by every step of the search
     alone = [p[0] for p in parts if len(p) == 1]
-    out = candidates.groupBy("group").agg(F.count("*").alias("n_records"), *(F.max(b.name).alias(b.name) for b in alone))
+    first = [F.min("__id").alias("first_id")] if record_id else []
+    out = candidates.groupBy("group").agg(F.count("*").alias("n_records"), *first, *(F.max(b.name).alias(b.name) for b in alone))
     for part in parts:
         if len(part) > 1:
             found = _search(candidates.select("group", *(b.name for b in part)), part, dependencies).withColumnRenamed("group", "g")
             out = out.join(found, F.col("group").eqNullSafe(F.col("g"))).drop("g")
-    return out.select("group", "n_records", *(F.col(b.name)["row"].alias(b.name) for b in bundles))
+    return out.select("group", "n_records", *(["first_id"] if record_id else []), *(F.col(b.name)["row"].alias(b.name) for b in bundles))

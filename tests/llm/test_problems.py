@@ -96,6 +96,46 @@ def test_branch_and_bound_maximises_trust(spark):
     assert all(free[g].a.s == max(r[4] for r in rows if r[0] == g) for g in range(20))
 
 
+def test_no_group_is_lost_where_bundles_do_not_fit(spark):
+    """The most complete choice wins, then the most trusted one; what is left out sets no condition."""
+    rows = [
+        (1, 1, "m", "p", None, 0.9), (1, 2, "n", None, "g", 0.5),  # no record has both: the more trusted bundle stays
+        (2, 3, "m", None, "g", 0.5), (2, 4, "n", None, "h", 0.7),  # no candidate of the first bundle
+        (3, 5, "m", None, None, 0.5),
+        (None, 6, "m", "p", "g", 0.2), (None, 7, "n", "q", "h", 0.3),
+        (4, 8, "m", "p", "g", 0.1), (4, 9, "n", "q", None, 0.9), (4, 10, "m", "r", None, 0.2),  # two bundles beat one of more trust
+    ]
+    df = spark.createDataFrame(rows, "g int, id int, m string, p string, q string, s double").withColumn("group", F.lit(1))
+    b = [survivors.Bundle(n, {"v": F.col(c), "m": F.col("m")}, [F.col("s"), F.col("id")], F.col(c).isNotNull()) for n, c in (("a", "p"), ("b", "q"))]
+    got = {r.group: (r.first_id, r.a and r.a.v, r.b and r.b.v) for r in survivors.best_representatives(df, "g", b, [survivors.Dependency("a", "m", "b", "m")], "id").collect()}
+    assert got == {1: (1, "p", None), 2: (3, None, "h"), 3: (5, None, None), None: (6, "q", "h"), 4: (8, "r", "g")}
+
+
+def test_candidates_are_met_by_rare_grams():
+    """The pairs that a value meets grow with shared rare n-grams, not with the list."""
+    rng = random.Random(4)
+    stems = ["".join(rng.choice(string.ascii_lowercase) for _ in range(9)) for _ in range(2000)]
+    weights = canonical_names.Weights()
+    for s in stems:
+        weights.add("l", s)
+    index = canonical_names.NameIndex([("l", s, s, "") for s in stems], weights)
+    met = [len(index.retrieved("l", s, "", 0.23)) for s in stems[:100]]
+    assert all(index.scores("l", s, "", 0.23)[s] == pytest.approx(1) for s in stems[:100])
+    assert sum(met) / len(met) < 0.5 * len(stems)
+    every = {s: dict(weights.vector("l", s)) for s in stems}
+    for s in stems[:20]:  # nothing that reaches the bound is lost
+        length = lambda v: sum(w * w for w in v.values()) ** 0.5
+        want = {t for t in stems if sum(w * w for g, w in every[s].items() if g in every[t]) / (length(every[s]) * length(every[t])) >= 0.23}
+        assert set(index.scores("l", s, "", 0.23)) == want
+
+
+def test_names_in_blocks(spark, monkeypatch):
+    values = ["cd3", "granutideK", "Tarsoiln alpha", "BXV-605", "morphin"]
+    one = mapped(spark, values)
+    monkeypatch.setattr(canonical_names, "BLOCK_STEMS", 3)
+    assert mapped(spark, values) == one
+
+
 def test_survivors_without_usable_values(spark):
     df = spark.createDataFrame([(1, 1, None, None), (1, 2, float("nan"), None), (2, 3, 0.1, "v")], "g int, id int, s double, v string")
     b = [survivors.Bundle("rec", {"id": F.col("id")}, [F.col("s"), F.col("id")]), survivors.Bundle("val", {"v": F.col("v")}, [F.col("s")], F.col("v").isNotNull())]
