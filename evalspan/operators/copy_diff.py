@@ -2,7 +2,7 @@
 
 Both sides are reduced to the highest revision of every key by an aggregate that combines before
 the shuffle, so a key that holds a third of all rows costs one row per input partition. The two
-sides then meet in one null-safe full outer join on the key; values are compared in a normal form
+sides then meet in one null-safe full outer join on the key, in the partitions that they already have (one shuffle a side); values are compared in a normal form
 and land in an array of (item, field, left value, right value).
 
 Defined results for odd input: empty tables give no rows for a pair of empty sides, and "only on
@@ -36,10 +36,22 @@ def normal_id(value: Column) -> Column:
 
 
 def highest_revision(df: DataFrame, key: Column, revision: str, payload: Sequence[Column], tie_break: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the payload of the row with the greatest (revision, tie_break)."""
+    """One row per key: the payload of the row with the greatest (revision, tie_break).
+
+    Rows are grouped by the two columns (``KEY``) that the null-safe join compares, so the join needs no further shuffle.
+    """
     order = [F.col(revision), *(F.col(c) for c in tie_break)]
-    picked = df.select(key.alias("key"), F.struct(F.struct(*order).alias("rank"), F.struct(*payload).alias("row")).alias("candidate"))
-    return picked.groupBy("key").agg(F.max("candidate").alias("best")).select("key", "best.row.*")
+    picked = df.select(*_join_key(key), F.struct(F.struct(*order).alias("rank"), F.struct(*payload).alias("row")).alias("candidate"))
+    best = picked.groupBy(*KEY).agg(F.max("candidate").alias("best"))
+    return best.select(F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("key"), *KEY, "best.row.*")
+
+
+#: Columns by which keys are compared null-safe with plain equality.
+KEY = ("__key", "__key_is_null")
+
+
+def _join_key(key: Column) -> list[Column]:
+    return [F.coalesce(key.cast("string"), F.lit("")).alias(KEY[0]), key.isNull().alias(KEY[1])]
 
 
 def diff_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -87,9 +99,10 @@ def diff_nested(left: DataFrame, right: DataFrame, entry_fields: Sequence[str],
     def side(df: DataFrame, s: str) -> DataFrame:
         entries = F.coalesce(F.filter("entries", lambda e: e.isNotNull()), F.array())
         values = [F.col(f"`{f}`").cast("string") for f in row_fields]
-        return df.select(F.col("key").alias(f"key_{s}"), _by_channel(entries, entry_fields).alias(f"e_{s}"), F.array(*values).alias(f"r_{s}"))
+        compared = list(KEY) if set(KEY) <= set(df.columns) else _join_key(F.col("key"))
+        return df.select(F.col("key").alias(f"key_{s}"), *compared, _by_channel(entries, entry_fields).alias(f"e_{s}"), F.array(*values).alias(f"r_{s}"))
 
-    j = side(left, "l").join(side(right, "r"), F.col("key_l").eqNullSafe(F.col("key_r")), "full_outer")
+    j = side(left, "l").join(side(right, "r"), list(KEY), "full_outer")
     in_l, in_r = F.col("r_l").isNotNull(), F.col("r_r").isNotNull()
     nothing = F.lit(None).cast("string")
 
