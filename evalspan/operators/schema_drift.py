@@ -1,9 +1,9 @@
 """Schemas that drift between batches of JSON files.
 
-Every body is parsed once in the JVM into a variant; direct fields of one object become rows, and
-an aggregate that combines before the shuffle reduces them to one line per (collection, batch,
-field): its types and its nested names. Neighbouring batches meet in a window over these lines, not
-over files. Fields that go and fields that come in the same batch are matched by similarity
+Every body is parsed once in the JVM into a variant; direct fields of one object become rows, of which
+type, hash and nested names are written once to the shared checkpoint folder. An aggregate that combines
+before the shuffle reduces them to one line per (collection, batch, field). Neighbouring batches meet by
+joins of these lines, not of files; values meet only for fields that go or come. Fields that go and fields that come in the same batch are matched by similarity
 flooding: either schema becomes a graph of fields, name parts, types and nested names, match scores
 start from names, types and values and are propagated along equally labelled edges until they stop
 changing, and a consistent (one to one) set of correspondences is selected in order of score. A
@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rounds of flooding at most, and the largest change of a score at which it has converged.
-ROUNDS, EPSILON = 50, 1e-3
+from evalspan.session import cut_lineage
+
+#: Largest change of a score at which flooding has converged, and rounds after which it's taken for an error.
+EPSILON, ROUNDS = 1e-3, 10_000
 #: Score from which a pair of fields without any common value is a rename.
 BLIND_SCORE = 0.75
 
@@ -51,16 +53,30 @@ def fields_of(files: DataFrame, collection: str, batch: str, body: str, case_pat
     return exploded.select("collection", "batch", "case_id", F.col("key").alias("field"), "value")
 
 
-def batch_schemas(fields: DataFrame) -> DataFrame:
+def facts_of(fields: DataFrame) -> DataFrame:
+    """What the report needs of every value: its type, a hash, and the value itself only where it has names within."""
+    kind = json_type(F.col("value"))
+    nested = F.when(kind.contains("object"), F.col("value"))
+    return fields.select("collection", "batch", "case_id", "field", kind.alias("kind"), F.xxhash64(F.to_json("value")).alias("hash"), nested.alias("nested"))
+
+
+def batch_schemas(facts: DataFrame) -> DataFrame:
     """One row per (collection, batch, field): sorted types and the merged nested schema."""
-    return fields.groupBy("collection", "batch", "field").agg(F.array_sort(F.collect_set(json_type(F.col("value")))).alias("types"), F.schema_of_variant_agg("value").alias("nested"))
+    return facts.groupBy("collection", "batch", "field").agg(F.array_sort(F.collect_set("kind")).alias("types"), F.schema_of_variant_agg("nested").alias("nested"))
 
 
 def transitions(schemas: DataFrame) -> DataFrame:
-    """One row per batch and the batch before it, with both schemas as arrays of (field, types, nested)."""
-    listed = schemas.groupBy("collection", "batch").agg(F.array_sort(F.collect_list(F.struct("field", "types", "nested"))).alias("after"))
+    """One row per batch and the batch before it, with both schemas as arrays of (field, types, nested).
+
+    Only batch numbers are ordered within a collection; the schemas are joined to them.
+    """
     w = Window.partitionBy("collection").orderBy("batch")
-    return listed.select("collection", "batch", F.lag("batch").over(w).alias("batch_before"), F.lag("after").over(w).alias("before"), "after").filter(F.col("before").isNotNull())
+    pairs = schemas.select("collection", "batch").distinct().withColumn("batch_before", F.lag("batch").over(w)).filter(F.col("batch_before").isNotNull())
+    listed = schemas.groupBy(F.col("collection").alias("c"), F.col("batch").alias("b")).agg(F.array_sort(F.collect_list(F.struct("field", "types", "nested"))).alias("listed"))
+    out = pairs
+    for at, name in (("batch_before", "before"), ("batch", "after")):
+        out = out.join(listed.withColumnRenamed("listed", name), F.col("collection").eqNullSafe(F.col("c")) & (F.col(at) == F.col("b"))).drop("c", "b")
+    return out
 
 
 def _names(schema: str) -> list[str]:
@@ -132,6 +148,8 @@ def flood(before: list, after: list, value_score: dict[tuple[str, str], float])
         score = spread
         if moved < EPSILON:
             break
+    else:
+        raise ArithmeticError("flooding doesn't converge")
     fields = score[np.ix_([i for k, i in ia.items() if k[0] == "field"], [j for k, j in ib.items() if k[0] == "field"])]
     names_a, names_b = [k[1] for k in ia if k[0] == "field"], [k[1] for k in ib if k[0] == "field"]
     top = fields.max(initial=0) or 1
@@ -181,75 +199,90 @@ def _changes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["collection", "batch", "batch_before", "change", "old_field", "new_field"])
 
 
-def value_evidence(fields: DataFrame, steps: DataFrame) -> DataFrame:
-    """Per transition and pair of a gone and a new field: test cases with a value under both, and those that keep it."""
+def value_evidence(facts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Per transition: pairs of a gone and a new field with the test cases that have a value under both, and those that keep it."""
     names = lambda c: F.transform(c, lambda f: f["field"])
     both = steps.select("collection", "batch", "batch_before", F.array_except(names(F.col("before")), names(F.col("after"))).alias("gone"), F.array_except(names(F.col("after")), names(F.col("before"))).alias("come")).filter((F.size("gone") > 0) & (F.size("come") > 0))
-    valued = fields.filter(json_type(F.col("value")).isNotNull() & F.col("case_id").isNotNull())
-
-    def side(which: str, at: str, name: str) -> DataFrame:
-        wanted = both.select(F.col("collection").alias("c"), F.col("batch").alias("step"), F.col(at).alias("b"), F.explode(which).alias("f"))
-        hit = valued.join(wanted, valued["collection"].eqNullSafe(wanted["c"]) & (valued["batch"] == wanted["b"]) & (valued["field"] == wanted["f"]))
-        return hit.groupBy("c", "step", "case_id", "f").agg(F.collect_set(F.xxhash64(F.to_json("value"))).alias(f"{name}_values")).select(F.col("c").alias(f"{name}_c"), F.col("step").alias(f"{name}_step"), F.col("case_id").alias(f"{name}_case"), F.col("f").alias(f"{name}_field"), f"{name}_values")
-
-    o, n = side("gone", "batch_before", "old"), side("come", "batch", "new")
-    met = o.join(n, o["old_c"].eqNullSafe(n["new_c"]) & (o["old_step"] == n["new_step"]) & (o["old_case"] == n["new_case"]))
-    counted = met.groupBy(F.col("old_c").alias("c"), F.col("old_step").alias("step"), "old_field", "new_field").agg(F.count("*").alias("common"), F.count_if(F.arrays_overlap("old_values", "new_values")).alias("kept"))
-    return counted.groupBy("c", "step").agg(F.collect_list(F.struct("old_field", "new_field", "common", "kept")).alias("evidence"))
-
-
-def drift_report(fields: DataFrame) -> DataFrame:
-    """Every change against the batch before: collection, batch, batch_before, change, old_field, new_field."""
-    steps = transitions(batch_schemas(fields))
-    evidence = value_evidence(fields, steps)
+    role = lambda fields, at, old: F.transform(fields, lambda f: F.struct(F.col(at).alias("b"), F.struct(F.lit(old).alias("old"), f.alias("f")).alias("x")))
+    wanted = both.select(F.col("collection").alias("c"), F.col("batch").alias("step"), F.inline(F.concat(role(F.col("gone"), "batch_before", True), role(F.col("come"), "batch", False))))
+    valued = facts.filter(F.col("kind").isNotNull() & F.col("case_id").isNotNull())
+    hits = valued.join(wanted, valued["collection"].eqNullSafe(wanted["c"]) & (valued["batch"] == wanted["b"]) & (valued["field"] == wanted["x"]["f"]))
+
+    def pairs(xs: str) -> Column:  # fields of one schema each: as many as it is wide
+        of = lambda old: F.transform(F.filter(xs, lambda x: x["old"] == F.lit(old)), lambda x: x["f"])
+        return F.explode(F.flatten(F.transform(of(True), lambda o: F.transform(of(False), lambda n: F.struct(o.alias("old_field"), n.alias("new_field"))))))
+
+    per_value = hits.groupBy("c", "step", "case_id", "hash").agg(F.collect_set("x").alias("xs"))
+    per_case = per_value.select("c", "step", "case_id", F.explode("xs").alias("x")).groupBy("c", "step", "case_id").agg(F.collect_set("x").alias("xs"))
+    common = per_case.select("c", "step", pairs("xs").alias("p"), F.lit(0).alias("kept"))
+    kept = per_value.select("c", "step", "case_id", pairs("xs").alias("p")).distinct().select("c", "step", "p", F.lit(1).alias("kept"))
+    counted = common.unionAll(kept).groupBy("c", "step", "p").agg(F.count_if(F.col("kept") == 0).alias("common"), F.sum("kept").alias("kept"))
+    return counted.groupBy("c", "step").agg(F.collect_list(F.struct("p.old_field", "p.new_field", "common", "kept")).alias("evidence"))
+
+
+def drift(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Schemas of all batches (collection, batch, field, types, nested), and the report of every change."""
+    facts = cut_lineage(facts_of(fields))
+    schemas = cut_lineage(batch_schemas(facts))
     # Steps without any change end here.
-    moved = steps.filter(F.transform("before", lambda f: F.struct(f["field"], f["types"])) != F.transform("after", lambda f: F.struct(f["field"], f["types"])))
+    same = lambda c: F.transform(c, lambda f: F.struct(f["field"], f["types"]))
+    moved = cut_lineage(transitions(schemas).filter(same(F.col("before")) != same(F.col("after"))))
+    evidence = value_evidence(facts, moved)
     full = moved.join(evidence, moved["collection"].eqNullSafe(evidence["c"]) & (moved["batch"] == evidence["step"]), "left")
     kind = {f.name: f.dataType.simpleString() for f in fields.schema.fields}
     out = f"collection {kind['collection']}, batch {kind['batch']}, batch_before {kind['batch']}, change string, old_field string, new_field string"
-    return full.select("collection", "batch", "batch_before", "before", "after", "evidence").mapInPandas(_changes, out)
+    return schemas, full.select("collection", "batch", "batch_before", "before", "after", "evidence").mapInPandas(_changes, out)
 
 
-def _canonical(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for r in part.itertuples(index=False):
-            renames = {(x["batch_before"], x["old_field"]): (x["batch"], x["new_field"]) for x in r.renames}
-            origin: dict[tuple, str] = {}
-            for (b, f), to in sorted(renames.items(), key=lambda kv: kv[0][0]):
-                origin[to] = origin.get((b, f), f)
-            names: dict[str, str] = {}
-            for s in sorted(r.schemas, key=lambda s: s["batch"]):
-                field = s["field"]
-                first = origin.get((s["batch"], field))
-                # A field keeps the canonical name that it got in the batch in which it came.
-                names[field] = first if first is not None else names.get(field, field)
-                rows.append((r.collection, s["batch"], field, names[field]))
-        yield pd.DataFrame(rows, columns=["collection", "batch", "field", "canonical"])
-
-
-def canonical_names(fields: DataFrame, report: DataFrame) -> DataFrame:
-    """(collection, batch, field) -> the name that the field had first, following renames batch by batch."""
-    schemas = fields.select("collection", "batch", "field").distinct().groupBy("collection").agg(F.collect_list(F.struct("batch", "field")).alias("schemas"))
-    renames = report.filter("change = 'renamed'").groupBy(F.col("collection").alias("c")).agg(F.collect_list(F.struct("batch_before", "batch", "old_field", "new_field")).alias("renames"))
-    kind = {f.name: f.dataType.simpleString() for f in fields.schema.fields}
-    j = schemas.join(renames, schemas["collection"].eqNullSafe(renames["c"]), "left").select("collection", "schemas", F.coalesce("renames", F.array()).alias("renames"))
-    return j.mapInPandas(_canonical, f"collection {kind['collection']}, batch {kind['batch']}, field string, canonical string")
+def drift_report(fields: DataFrame) -> DataFrame:
+    """Every change against the batch before: collection, batch, batch_before, change, old_field, new_field."""
+    return drift(fields)[1]
+
+
+def _latest(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows (collection, field, batch, ..) with ``event``: batch and field of the last event of that field up to the row's batch."""
+    extra = [c for c in rows.columns if c not in ("collection", "field", "batch")]
+    types = dict(rows.dtypes)
+    marks = events.select("collection", "field", "batch", *(F.lit(None).cast(types[c]).alias(c) for c in extra), F.struct("batch", "field").alias("__mark"))
+    both = marks.unionByName(rows.withColumn("__mark", F.lit(None).cast(marks.schema["__mark"].dataType)))
+    w = Window.partitionBy("collection", "field").orderBy("batch", F.col("__mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("event", F.last("__mark", ignorenulls=True).over(w)).filter(F.col("__mark").isNull()).drop("__mark")
 
 
-def consistent_table(fields: DataFrame, report: DataFrame) -> DataFrame:
+def canonical_names(schemas: DataFrame, report: DataFrame) -> DataFrame:
+    """(collection, batch, field, canonical): the name that the field had first, following its renames back.
+
+    A field has the name of the last rename into it, up to its batch; that rename's name comes from the one
+    before it, and so on. Chains of renames halve with every round, so no collection is walked in one task.
+    """
+    renames = report.filter("change = 'renamed'").select("collection", F.col("new_field").alias("field"), "batch", "old_field", "batch_before")
+    renames = cut_lineage(renames)
+    sources = renames.select("collection", F.col("old_field").alias("field"), F.col("batch_before").alias("batch"), F.struct("batch", "field").alias("of"))
+    chain = cut_lineage(_latest(sources, renames).select("collection", "of", "event", F.col("field").alias("canonical")))
+    while chain.filter(F.col("event").isNotNull()).limit(1).count():
+        before = chain.select(F.col("collection").alias("c"), F.col("of").alias("o"), F.col("event").alias("e"), F.col("canonical").alias("n"))
+        met = chain.join(before, F.col("collection").eqNullSafe(F.col("c")) & (F.col("event") == F.col("o")), "left")
+        chain = cut_lineage(met.select("collection", "of", F.col("e").alias("event"), F.coalesce("n", "canonical").alias("canonical")))
+    named = chain.select(F.col("collection").alias("c"), "of", "canonical")
+    lines = _latest(schemas.select("collection", "field", "batch"), renames)
+    return lines.join(named, F.col("collection").eqNullSafe(F.col("c")) & (F.col("event") == F.col("of")), "left").select("collection", "batch", "field", F.coalesce("canonical", "field").alias("canonical"))
+
+
+def consistent_table(fields: DataFrame, report: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """All values under canonical names and one type per collection and field.
 
     Gives collection, batch, case_id, field, type, value. A field that ever was an array is cast to
     array<string> (a scalar becomes an array of one, other elements their JSON), one that had several
     types to string, else it keeps its type; value is the cast value's JSON, null where there is none.
+    Names and types are decided on the lines of the schemas; values are joined to them once.
     """
-    names = canonical_names(fields, report).withColumnsRenamed({"collection": "c", "batch": "b", "field": "f"})
-    typed = fields.withColumn("kind", json_type(F.col("value")))
-    named = typed.join(names, typed["collection"].eqNullSafe(names["c"]) & (typed["batch"] == names["b"]) & (typed["field"] == names["f"])).select("collection", "batch", "case_id", F.col("canonical").alias("field"), "kind", "value")
-    kinds = named.groupBy(F.col("collection").alias("c"), F.col("field").alias("f")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    schemas = schemas if schemas is not None else batch_schemas(facts_of(fields))
+    names = canonical_names(schemas, report)
+    typed = names.join(schemas.select(F.col("collection").alias("c"), F.col("batch").alias("b"), F.col("field").alias("f"), "types"), F.col("collection").eqNullSafe(F.col("c")) & (F.col("batch") == F.col("b")) & (F.col("field") == F.col("f"))).select("collection", "batch", "field", "canonical", "types")
+    kinds = typed.select(F.col("collection").alias("c"), F.col("canonical").alias("f"), F.explode_outer("types").alias("kind")).groupBy("c", "f").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     target = F.when(F.exists("kinds", lambda k: k.startswith("array<")), F.when(F.size("kinds") == 1, F.get("kinds", 0)).otherwise("array<string>")).when(F.size("kinds") > 1, "string").otherwise(F.get("kinds", 0))
-    j = named.join(kinds.select("c", "f", target.alias("type")), named["collection"].eqNullSafe(F.col("c")) & (named["field"] == F.col("f")))
+    lines = typed.join(kinds.select("c", "f", target.alias("type")), F.col("collection").eqNullSafe(F.col("c")) & (F.col("canonical") == F.col("f"))).select(F.col("collection").alias("c"), F.col("batch").alias("b"), F.col("field").alias("f"), "canonical", "type")
+    j = fields.join(lines, fields["collection"].eqNullSafe(F.col("c")) & (fields["batch"] == F.col("b")) & (fields["field"] == F.col("f"))).select("collection", "batch", "case_id", F.col("canonical").alias("field"), "type", json_type(F.col("value")).alias("kind"), "value")
     text = F.coalesce(F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string")), F.to_json("value"))
     wrapped = F.when(F.col("kind") == "array<string>", F.to_json("value")).when(F.col("kind").startswith("array<"), F.to_json(F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x: F.to_json(x)))).otherwise(F.to_json(F.array(text)))
     cast = F.when(F.col("kind").isNull(), F.lit(None)).when(F.col("kind") == F.col("type"), F.to_json("value")).when(F.col("type") == "array<string>", wrapped).otherwise(F.to_json(F.struct(text.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("x")))) - 6))

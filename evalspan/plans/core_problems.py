@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspan.operators import copy_diff, nested, schema_drift
+from evalspan.session import cut_lineage
 from evalspan.sources.tables import table
 
 ENTRY_FIELDS = ("marker", "fluorophore", "clone", "vendor", "cat_number")
@@ -44,12 +45,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contexts under consistent names and types."""
-    fields = _context_fields(spark, sf_dir)
-    return schema_drift.consistent_table(fields, schema_drift.drift_report(fields)).withColumnRenamed("batch", "batch_no")
+    fields = cut_lineage(_context_fields(spark, sf_dir))  # bodies are parsed once
+    schemas, report = schema_drift.drift(fields)
+    return schema_drift.consistent_table(fields, report, schemas).withColumnRenamed("batch", "batch_no")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.gate_tables(table(spark, sf_dir, "raw_extractions")).select("record_id", "kind", "parent_path", "node_path")
+    return nested.gate_tables(table(spark, sf_dir, "raw_extractions"), attributes=False).select("record_id", "kind", "parent_path", "node_path")
 
 
 def p4_gates(spark: SparkSession, sf_dir: str) -> DataFrame:

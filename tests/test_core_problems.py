@@ -1,9 +1,11 @@
 """Drift, nested records and copies on small fixtures, against plain statements of what must come out."""
 
 import json
+import random
 
-import pytest
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from evalspan.operators import copy_diff, nested, schema_drift
 
@@ -80,6 +82,14 @@ def test_consistent_table_follows_renames(spark):
     assert got == {(b, "src", "string", '"p1"') for b in (1, 2, 3)} | {(1, "n", "string", '"3"'), (2, "n", "string", '"3"'), (3, "n", "string", None)}
 
 
+def test_names_follow_long_chains_of_renames(spark):
+    """A field that is renamed batches after it came, and back again, keeps its first name; so does one that comes again."""
+    chain = [ctx("a", src="p1", n=1), ctx("a", path="p1", n=1), ctx("a", path="p1", n=1), ctx("a", file="p1", n=1), ctx("a", file="p1"), ctx("a", src="p1", n=1), ctx("a", doc="p1")]
+    f = files(spark, {i: [c] for i, c in enumerate(chain)})
+    got = {(r.batch, r.field) for r in schema_drift.consistent_table(f, schema_drift.drift_report(f)).collect()}
+    assert got == {(i, "src") for i in range(7)} | {(i, "n") for i in (0, 1, 2, 3, 5)}
+
+
 def test_flooding_prefers_alike_fields():
     field = lambda name, t="string": {"field": name, "types": [t], "nested": "STRING"}
     scores = schema_drift.flood([field("pdf_source"), field("note")], [field("pdfSource"), field("count", "number")], {})
@@ -122,6 +132,65 @@ def test_shred_keeps_parents_and_positions():
     assert out["x.b"].to_pylist() == [{"id": 1, "parent_path": "0", "node_path": "0.0", "c": 5}, {"id": 1, "parent_path": "0", "node_path": "0.1", "c": 6}, {"id": 3, "parent_path": "2", "node_path": "2.0", "c": 7}]
 
 
+def test_index_agrees_with_the_decoder():
+    """Texts that the index vouches for are valid and have the decoder's structure; odd ones are left to the decoder."""
+    from evalspan.operators.json_index import JsonIndex, buffers
+
+    rng = random.Random(3)
+
+    def value(depth=0):
+        kind = rng.random()
+        if depth > 4 or kind < 0.3:
+            return rng.choice([1, -2.5e7, "x", 'a"b\\', None, True, "é\n{", {}, []])
+        return [value(depth + 1) for _ in range(rng.randint(0, 4))] if kind < 0.65 else {f"k{i}": value(depth + 1) for i in range(rng.randint(0, 4))}
+
+    def read(index, t):
+        kind = chr(index.kind[t])
+        if kind == "[":
+            return [read(index, e) for e in index.lists(np.array([t])).values.to_pylist()]
+        if kind == "{":
+            names = [n for n in index.names if index.field(np.array([t]), n)[0] >= 0]
+            return {n: read(index, index.field(np.array([t]), n)[0]) for n in names}
+        return json.loads(index.whole(np.array([t]))[0].as_py())
+
+    left = 0
+    for _ in range(60):
+        texts = []
+        for _ in range(15):
+            t = json.dumps(value(), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+            if rng.random() < 0.5:
+                i = rng.randrange(len(t))
+                t = t[:i] + rng.choice(["", '"', "{", "}", "[", "]", ",", ":", "\\", "1", "a", " ", "\n", "\x01"]) + t[i + rng.randint(0, 2) :]
+            texts.append(t)
+        index = JsonIndex(*buffers(pa.array(["skipped", *texts]).slice(1)))
+        for t, good, root in zip(texts, index.good, index.roots()):
+            try:
+                want = [json.loads(t)]
+            except ValueError:
+                want = []
+            if good:
+                assert [read(index, root)] == want
+            left += bool(want) and not good
+    assert left < 10
+    odd = ["", "NaN", '{"a": 1, "a": 2}', '{"\\u0061": 1}', '"\\u12"', "[1", "01", '"\\x"', '{"a"}', "{1: 2}", "[1:2]", '{"a": 1}{}', None]
+    assert not JsonIndex(*buffers(pa.array(odd, pa.string()))).good.any()
+
+
+def test_indexed_and_decoded_bodies_give_the_same_rows(spark, monkeypatch):
+    tree = {"name": "r", "marker_logic": [{"marker": 'x"'}, None, {"marker": "y"}], "children": [{"name": 5, "children": {"name": None, "marker": "m"}}, None, {"children": [], "z": [1, {"a": "é"}]}]}
+    bodies = [record({"entries": [{"marker": "é", "b": 1}, 3]}, shape) for shape in (tree, {"hierarchy": tree}, json.dumps({"root": tree}), [[tree], tree], "no json", json.dumps('"x"'))]
+    bodies += [record(json.dumps([{"marker": "q"}]), {"a": {"b": {"name": "deep"}}, "c": {"name": "near"}}), record({"marker": "single"}, 5), {"extractions": 1}]
+    same = lambda r: (*r[:6], json.dumps(json.loads(r[6])))  # texts of attributes are as written, or the decoder's
+    rows = lambda: {same(r) for r in nested.gate_tables(spark.createDataFrame(list(enumerate(map(json.dumps, bodies))), "record_id int, body string")).collect()}
+    indexed = rows()
+    assert any(r[4] == "5" for r in indexed) and any(r[4] == 'x"' for r in indexed)
+    found = list(nested._flatten_bodies([pa.RecordBatch.from_pydict({"record_id": [1, None], "body": pa.array([None, ""], pa.string())})], True))
+    assert sum(b.num_rows for b in found) == 0
+    monkeypatch.setattr(nested, "LARGE_BODY", -1)
+    decoded = {same(r) for b in nested._flatten_bodies([pa.RecordBatch.from_pydict({"record_id": list(range(len(bodies))), "body": list(map(json.dumps, bodies))})], True) for r in zip(*(b.column(c).to_pylist() for c in b.schema.names))}
+    assert decoded == indexed
+
+
 def test_trees_beyond_the_decoders_limit(spark):
     from evalspan.operators import nested as N
 
