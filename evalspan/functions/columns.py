@@ -28,11 +28,28 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of the rows that have both; null where one of them doesn't vary (``corr`` fails there)."""
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Slope of the least-squares line; null where x doesn't vary."""
+    v = F.var_pop(F.when(y.isNotNull(), x))
+    return F.when(v > 0, F.covar_pop(x, y) / v)
+
+
 def std0(c: Column) -> Column:
     """Sample standard deviation; 0 for fewer than two values."""
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
 
+def once(c: Column, f) -> Column:
+    """f(c), with c evaluated a single time (a column that is used within a lambda is evaluated per element otherwise)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def ladder(c: Column, steps: Sequence[tuple[float, str]], last: str, strict: bool = False) -> Column:
     """First label whose bound is reached (c >= bound, or c > bound if strict); bounds descend."""
     out = F
@@ -41,6 +58,19 @@ def ladder(c: Column, steps: Sequence[tuple[float, str]], last: str, strict: boo
     return out.otherwise(last)
 
 
+def bucket(c: Column, steps: Sequence[tuple[float, str]], last: str) -> Column:
+    """First label whose bound isn't exceeded (c <= bound); bounds ascend."""
+    out = F
+    for bound, label in steps:
+        out = out.when(c <= bound, label)
+    return out.otherwise(last)
+
+
+#: Colours of a simple and a medium panel, gates below the root of an easy and a medium tree.
+COMPLEXITY = ((15, "simple"), (25, "medium"))
+DIFFICULTY = ((10, "easy"), (18, "medium"))
+
+
 def z_quantile(p: float) -> float:
     """Normal quantile by the rational approximation with three coefficients each (Abramowitz and Stegun 26.2.23)."""
     import math

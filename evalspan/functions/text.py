@@ -81,8 +81,8 @@ BANDWAGON = (
     r"(commonly\s+(accepted|believed|known))",
 )
 # Sentiment lists.
-POSITIVE = "excellent great good best perfect wonderful amazing outstanding superb fantastic brilliant exceptional impressive remarkable superior ideal optimal effective successful beneficial advantageous favorable positive helpful useful".split()
-NEGATIVE = "poor bad wrong incorrect failed terrible awful horrible worst inferior inadequate insufficient deficient flawed problematic disappointing unsatisfactory negative harmful detrimental unfavorable unsuccessful ineffective useless worthless".split()
+POSITIVE = ("excellent", "great", "good", "best", "perfect", "wonderful", "amazing", "outstanding", "superb", "fantastic", "brilliant", "exceptional", "impressive", "remarkable", "superior", "ideal", "optimal", "effective", "successful", "beneficial", "advantageous", "favorable", "positive", "helpful", "useful")
+NEGATIVE = ("poor", "bad", "wrong", "incorrect", "failed", "terrible", "awful", "horrible", "worst", "inferior", "inadequate", "insufficient", "deficient", "flawed", "problematic", "disappointing", "unsatisfactory", "negative", "harmful", "detrimental", "unfavorable", "unsuccessful", "ineffective", "useless", "worthless")
 # Formatting features.
 FORMATTING = {"headers": r"(?m)^#+\s", "bullets": r"(?m)^[\-\*]\s", "numbered": r"(?m)^\d+\.\s", "code": "```", "inline_code": r"`[^`]+`", "bold": r"\*\*[^*]+\*\*", "emphasis": r"_[^_]+_|\*[^*]+\*"}
 
@@ -297,3 +297,46 @@ def concept_score(c: Column, required: Sequence[str], bonus: Sequence[str], fail
     n = lambda ws: reduce(Column.__add__, (t.contains(w).cast("int") for w in ws), F.lit(0))
     base = ratio(n(required), F.lit(len(required)))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + F.least(0.1 * n(bonus), F.lit(0.2)) - F.least(0.2 * n(failing), F.lit(0.5))))
+
+
+def condition_name(model: Column, *parts: Column, temperature: Column | None = None) -> Column:
+    """Name of a condition: second part of the model's name (or all of it), the other parts, and tX.X where a temperature is given."""
+    short = F.coalesce(F.get(F.split(model, "-"), F.lit(1)), model)
+    return F.concat_ws("_", short, *parts, *([F.concat(F.lit("t"), F.format_number(temperature, 1))] if temperature is not None else []))
+
+
+def strip_bandwagon(c: Column) -> Column:
+    """Appeals to the majority replaced, blanks collapsed."""
+    out = text_of(c)
+    for pattern in BANDWAGON:
+        out = F.regexp_replace(out, "(?i)" + pattern, "[CLAIM]")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def strip_formatting(c: Column) -> Column:
+    """Markdown dropped: fences, headers, bullets, numbers of lists, emphasis and inline code."""
+    out = text_of(c)
+    for pattern, to in (("```\\w*", ""), (r"(?m)^#+\s+", ""), (r"(?m)^[\-\*]\s+", ""), (r"(?m)^\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), ("`([^`]+)`", "$1")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.trim(out)
+
+
+def prepared_for_judging(c: Column, authority: bool = True, bandwagon: bool = True, plain: bool = False) -> Column:
+    """struct<text, n_authority, n_bandwagon>: the text without the wanted kinds of bias, and what was found."""
+    text = strip_formatting(c) if plain else text_of(c)
+    text = strip_authority(text) if authority else text
+    text = strip_bandwagon(text) if bandwagon else text
+    return F.struct(text.alias("text"), hits(c, [p for p, _ in AUTHORITY]).alias("n_authority"), hits(c, BANDWAGON).alias("n_bandwagon"))
+
+
+def debate_result(c: Column) -> Column:
+    """struct<n_critical, n_moderate, n_minor, confidence> of a validator's JSON (fenced or in prose); confidence within 0 and 100, 50 if there is no JSON."""
+    t = text_of(c)
+    fenced = F.regexp_extract(t, r"(?s)```json\s*(.*?)```", 1)
+    body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(t, r"(?s)\{.*\}", 0))
+    v = F.try_parse_json(body)
+    levels = F.coalesce(F.try_variant_get(v, "$.discrepancies", "array<struct<severity string>>"), F.array())
+    n = lambda level: F.size(F.filter(levels, lambda x: x["severity"] == level))
+    critical, moderate = n("critical"), n("moderate")
+    confidence = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.try_variant_get(v, "$.confidence_score", "double").cast("int"), F.lit(50))))
+    return F.struct(critical.alias("n_critical"), moderate.alias("n_moderate"), (F.size(levels) - critical - moderate).alias("n_minor"), confidence.alias("confidence"))

@@ -116,11 +116,13 @@ def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: Sequen
     return df.groupBy(row).pivot(column, list(columns)).agg(r6(F.avg(value)))
 
 
-def lift_over(df: DataFrame, group: str, value: str, tested: str) -> DataFrame:
-    """Mean of one group against the best of all others: lift and whether it exceeds a tenth."""
+def lift_over(df: DataFrame, group: str, value: str, tested: str, higher_is_better: bool = True) -> DataFrame:
+    """Mean of one group against the best of all others: lift (positive if better) and whether it exceeds a tenth."""
     means = df.groupBy(group).agg(F.avg(value).alias("m"))
-    one = means.agg(F.max(F.when(F.col(group) == tested, F.col("m"))).alias("tested_mean"), F.max(F.when(F.col(group) != tested, F.col("m"))).alias("best_other_mean"))
-    lift = ratio(F.col("tested_mean") - F.col("best_other_mean"), F.col("best_other_mean"), None)
+    best = F.max if higher_is_better else F.min
+    one = means.agg(F.max(F.when(F.col(group) == tested, F.col("m"))).alias("tested_mean"), best(F.when(F.col(group) != tested, F.col("m"))).alias("best_other_mean"))
+    gain = (F.col("tested_mean") - F.col("best_other_mean")) * (1 if higher_is_better else -1)
+    lift = ratio(gain, F.col("best_other_mean"), None)
     return one.select(r6(F.col("tested_mean")).alias("tested_mean"), r6(F.col("best_other_mean")).alias("best_other_mean"), r6(lift).alias("lift"), (F.abs(lift) > 0.10).alias("significant"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspan.functions.columns import ladder, r6, ratio
+from evalspan.functions.columns import ladder, pearson, r6, ratio
 
 
 def item_agreement(df: DataFrame, item: str, score: str) -> DataFrame:
@@ -40,7 +40,7 @@ def rater_pairs(df: DataFrame, item: str, rater: str, score: str) -> DataFrame:
     k = total.join(expected, ["rater_a", "rater_b"], "left")
     po, pe = F.col("same") / F.col("n"), F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n"))
     kappa = k.select("rater_a", "rater_b", "n", r6(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe))).alias("kappa"))
-    moments = j.groupBy("rater_a", "rater_b").agg(r6(F.corr("sa", "sb")).alias("pearson"), r6(F.avg(F.abs(F.col("sa") - F.col("sb")))).alias("mae"), r6(F.avg(F.col("sa") - F.col("sb"))).alias("bias"))
+    moments = j.groupBy("rater_a", "rater_b").agg(r6(pearson(F.col("sa"), F.col("sb"))).alias("pearson"), r6(F.avg(F.abs(F.col("sa") - F.col("sb")))).alias("mae"), r6(F.avg(F.col("sa") - F.col("sb"))).alias("bias"))
     calibrated = (F.col("pearson") > 0.7) & (F.col("mae") < 0.15)
     return kappa.join(moments, ["rater_a", "rater_b"]).withColumn("calibrated", F.coalesce(calibrated, F.lit(False)))
 
@@ -93,3 +93,19 @@ def robustness(df: DataFrame, item: str, variant: str, score: str, base: str) ->
     g = j.groupBy(variant).agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.avg("drop").alias("drop"), F.avg((F.abs("drop") < 0.1).cast("double")).alias("consistency"))
     value = 0.5 * (1 - F.col("drop")) + 0.5 * F.col("consistency")
     return g.select(variant, "n", r6(F.col("mean")).alias("mean"), r6(F.col("drop")).alias("mean_drop"), r6(F.col("consistency")).alias("consistency"), r6(value).alias("robustness"), ladder(r6(value), [(0.9, "A"), (0.8, "B"), (0.7, "C"), (0.6, "D")], "F").alias("grade"))
+
+
+def judge_calibration(df: DataFrame, judge: str, score: str, human: str, max_score: float = 1.0) -> DataFrame:
+    """Correlation with human scores, mean absolute error and bias per judge; calibrated above a correlation of 0.7 and below an error of 0.15."""
+    h = F.col(human) / max_score
+    g = df.filter(F.col(score).isNotNull() & F.col(human).isNotNull()).groupBy(judge).agg(F.count("*").alias("n"), pearson(F.col(score), h).alias("r"), F.avg(F.abs(F.col(score) - h)).alias("mae"), F.avg(F.col(score) - h).alias("bias"))
+    r = F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))
+    return g.select(judge, "n", r6(r).alias("correlation"), r6(F.col("mae")).alias("mae"), r6(F.col("bias")).alias("bias"), ((r > 0.7) & (F.col("mae") < 0.15)).alias("calibrated"))
+
+
+def bias_aware_scores(df: DataFrame, item: str, score: str, word_ratio: str, disagreement: float = 0.3, ratio_limit: float = 1.5, factor: float = 0.1, most: float = 0.2) -> DataFrame:
+    """Mean of all judges per item, whether they disagree (population deviation above the threshold), and the mean less a
+    penalty for answers much longer than the reference (word_ratio, null without a reference)."""
+    g = df.filter(F.col(score).isNotNull()).groupBy(item).agg(F.count("*").alias("n"), F.avg(score).alias("m"), F.stddev_pop(score).alias("s"), F.max(word_ratio).alias("ratio"))
+    penalty = F.when(F.col("ratio") > ratio_limit, F.least((F.col("ratio") - ratio_limit) * factor, F.lit(most))).otherwise(0.0)
+    return g.select(item, "n", r6(F.col("m")).alias("ensemble_score"), (F.col("s") > disagreement).alias("disagreement"), r6(F.greatest(F.lit(0.0), F.col("m") - penalty)).alias("score"))

@@ -104,3 +104,20 @@ def cheapest_threshold(points: DataFrame, error_cost: float, abstention_cost: fl
     cost = (F.col("attempted") - F.col("hits")) * error_cost + (F.col("total") - F.col("attempted")) * abstention_cost
     best = F.min_by(F.struct("threshold", "coverage", (cost / F.col("total")).alias("expected_cost")), F.struct(r6(cost), F.col("threshold")))
     return points.groupBy(*keys).agg(best.alias("b")).select(*keys, *(r6(F.col("b")[c]).alias(c) for c in ("threshold", "coverage", "expected_cost")))
+
+
+# Phrases that say that an answer is uncertain.
+HEDGES = ("i'm not sure", "i don't know", "uncertain", "unsure", "might be", "possibly", "could be", "not certain", "hard to say", "difficult to determine", "unclear", "ambiguous")
+
+
+def abstains_by_hedges(confidence: Column, response: Column, threshold: float = 0.5, weight: float = 0.3) -> Column:
+    """Abstains below the threshold, and where the confidence falls below it when every hedging phrase takes off ``weight``."""
+    text = F.lower(F.coalesce(response, F.lit("")))
+    found = sum((F.contains(text, F.lit(h)).cast("int") for h in HEDGES), F.lit(0))
+    return confidence - found * weight < threshold
+
+
+def abstains_by_disagreement(confidence: Column, answers: Column, agreement: float = 0.7, least: float = 0.3) -> Column:
+    """Abstains below the least confidence, and where 1 - (different answers - 1) / answers is below ``agreement``; no answers agree."""
+    share = F.when(F.size(answers) > 0, 1 - (F.size(F.array_distinct(answers)) - 1) / F.size(answers)).otherwise(1.0)
+    return (confidence < least) | (share < agreement)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspan.functions.columns import r6, ratio
+from evalspan.functions.columns import pearson, r6, ratio
 
 RANGES = 256
 
@@ -92,7 +92,7 @@ def trimmed_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, trim
     ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     cut = F.floor(F.col("n") * trim)
     kept = ranked.filter((F.col("i") > cut) & (F.col("i") <= F.col("n") - cut))
-    return kept.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.pow(F.corr(x, y), F.lit(2.0))).alias("r2"))
+    return kept.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.pow(pearson(F.col(x), F.col(y)), F.lit(2.0))).alias("r2"))
 
 
 def step_ratio(df: DataFrame, cost: str, gain: str, name: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Spectral similarity of dyes, panel complexity, spreading, and cosine search over vectors.
 
 A dye list is a bounded dimension, so its pairs are formed; panels meet the pair table by equi-joins
-on their dyes. Vector search probes random-hyperplane tables (see ``cosine_neighbours``). Defined
+on their dyes. Vector search is exact: blocks of queries against all vectors (see ``cosine_neighbours``). Defined
 results: null or empty ranges have no spectrum; a zero norm gives similarity 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspan.functions.columns import r6
+from evalspan.functions.columns import once, r6
 
 POINTS, FIRST, LAST = 500, 350.0, 850.0
 
@@ -33,9 +35,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def spectra(dyes: DataFrame) -> DataFrame:
+    """(name, s): spectra of the dyes with peaks and ranges."""
+    return dyes.filter("em_max is not null and em_range.lo < em_max and em_range.hi > em_max").select("name", emission(F.col("em_max"), F.col("em_range.lo"), F.col("em_range.hi")).alias("s"))
+
+
 def spectral_pairs(dyes: DataFrame) -> DataFrame:
     """(name_a, name_b, similarity) for name_a < name_b of a bounded dye list with peaks and ranges."""
-    s = dyes.filter("em_max is not null and em_range.lo < em_max and em_range.hi > em_max").select("name", emission(F.col("em_max"), F.col("em_range.lo"), F.col("em_range.hi")).alias("s"))
+    s = spectra(dyes)
     a, b = s.select(F.col("name").alias("name_a"), F.col("s").alias("sa")), s.select(F.col("name").alias("name_b"), F.col("s").alias("sb"))
     return a.join(b, F.col("name_a") < F.col("name_b")).select("name_a", "name_b", r6(cosine(F.col("sa"), F.col("sb"))).alias("similarity"))
 
@@ -115,3 +122,33 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block:
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, rank int")
     return top_k(found, ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
+
+
+def normalised(values: Column) -> Column:
+    """Values over their greatest; unchanged if that isn't positive."""
+    return once(F.array_max(values), lambda top: F.when(top > 0, F.transform(values, lambda v: v / top)).otherwise(values))
+
+
+def peak(at: Column, values: Column) -> Column:
+    """Place of the first greatest value."""
+    return F.get(at, F.array_position(values, F.array_max(values)).cast("int") - 1)
+
+
+def half_width(at: Column, values: Column) -> Column:
+    """Distance of the first and the last place with at least half of the greatest value; 0 for fewer than two."""
+    places = once(F.array_max(values) / 2, lambda half: F.filter(F.transform(values, lambda v, i: F.when(v >= half, F.get(at, i))), lambda x: x.isNotNull()))
+    return F.when(F.size(places) >= 2, F.get(places, F.size(places) - 1) - F.get(places, F.lit(0))).otherwise(0.0)
+
+
+def interpolated(at: Column, values: Column, x: Column) -> Column:
+    """Linear interpolation at ``x``; 0 outside (places ascend)."""
+    i = F.size(F.filter(at, lambda a: a <= x)) - 1
+    a0, a1, v0, v1 = F.get(at, i), F.get(at, i + 1), F.get(values, i), F.get(values, i + 1)
+    return F.when((x < F.get(at, F.lit(0))) | (x > F.get(at, F.size(at) - 1)), 0.0).when(a0 == x, v0).otherwise(v0 + (v1 - v0) * (x - a0) / (a1 - a0))
+
+
+def validated(calculated: DataFrame, expected: DataFrame, keys: Sequence[str], value: str, tolerance: float = 0.05) -> DataFrame:
+    """Calculated values against expected ones: error, and whether it is within the tolerance; pairs on one side only are no pair."""
+    e = expected.select(*keys, F.col(value).alias("expected"))
+    error = F.abs(F.col(value) - F.col("expected"))
+    return calculated.join(e, list(keys)).select(*keys, F.col(value).alias("calculated"), "expected", r6(error).alias("error"), (error <= tolerance + 1e-12).alias("passed"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspan.functions.columns import ladder, normal_cdf, r6, ratio, z_quantile
+from evalspan.functions.columns import ladder, normal_cdf, pearson, r6, ratio, slope, z_quantile
 
 #: Rows and replicates drawn at a time.
 BLOCK, REPLICATES_AT_ONCE = 4096, 1000
@@ -64,24 +64,28 @@ def _replicates(df: DataFrame, keys: Sequence[str], row_id: str, value: Column,
 
 
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Mean, standard error and percentile, basic and bias-corrected intervals per group."""
+    """Mean, standard error and percentile, basic and bias-corrected accelerated (BCa) intervals per group.
+
+    The acceleration is that of the leave-one-out means, which for a mean is a sixth of the third central
+    moment over the second one's power 1.5, divided by the root of the rows: a plain aggregate.
+    """
     c = F.col(value)
-    base = df.filter(c.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("m"))
+    base = df.filter(c.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("m"), (F.coalesce(F.nanvl(F.skewness(c.cast("double")), F.lit(0.0)), F.lit(0.0)) / (6 * F.sqrt(F.count("*").cast("double")))).alias("acceleration"))
     weights = lambda u: np.searchsorted(_POISSON, u).astype(float)
     reps = _replicates(df, keys, row_id, c, weights, replicates, seed).filter("w > 0").withColumn("t", F.col("wx") / F.col("w"))
     j = reps.join(base, list(keys)) if keys else reps.crossJoin(F.broadcast(base))
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    g = j.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("mean"), F.stddev_pop("t").alias("se"), F.percentile("t", [lo, hi]).alias("q"), F.avg((F.col("t") < F.col("m")).cast("double")).alias("below"), F.sort_array(F.collect_list("t")).alias("ts"))
+    g = j.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("mean"), F.max("acceleration").alias("acceleration"), F.stddev_pop("t").alias("se"), F.percentile("t", [lo, hi]).alias("q"), F.avg((F.col("t") < F.col("m")).cast("double")).alias("below"), F.sort_array(F.collect_list("t")).alias("ts"))
     # Bias correction: the levels move by twice the normal quantile of the share of replicates below the mean.
-    bounds = [(z_quantile(lo), "bc_low"), (z_quantile(hi), "bc_high")]
+    bounds = [(z_quantile(lo), "bca_low"), (z_quantile(hi), "bca_high")]
     share = F.least(F.greatest(F.col("below"), F.lit(1e-6)), F.lit(1 - 1e-6))
     g = g.withColumn("__t", F.sqrt(-2 * F.log(F.least(share, 1 - share)))).withColumn("__sign", F.signum(share - 0.5))
     t = F.col("__t")
     g = g.withColumn("__z0", F.col("__sign") * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))))
-    cdf = F.udf(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), "double")  # one value per group
     z0 = F.col("__z0")
     size = F.size("ts")
-    at = lambda z: F.get("ts", F.least(F.floor(cdf(2 * z0 + z) * size), size - 1).cast("int"))
+    level_of = lambda z: normal_cdf(z0 + (z0 + z) / (1 - F.col("acceleration") * (z0 + z)))
+    at = lambda z: F.get("ts", F.greatest(F.least(F.floor(level_of(z) * size), size - 1), F.lit(0)).cast("int"))
     q = lambda i: F.get("q", F.lit(i))
     enough = lambda x: F.when(F.col("n") >= 2, r6(x))
     return g.select(*keys, "n", r6(F.col("mean")).alias("mean"), enough(F.col("se")).alias("se"), enough(q(0)).alias("low"), enough(q(1)).alias("high"), enough(2 * F.col("mean") - q(1)).alias("basic_low"), enough(2 * F.col("mean") - q(0)).alias("basic_high"), *(enough(at(F.lit(z))).alias(name) for z, name in bounds))
@@ -136,10 +140,12 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
 
 
 def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson, Spearman and the least-squares line per group."""
+    """Pearson, Spearman and the least-squares line per group; null where a column doesn't vary (R2 is 1 if only y doesn't)."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     ranked = rows.join(average_ranks(rows, keys, x, "rx"), [*keys, x]).join(average_ranks(rows, keys, y, "ry"), [*keys, y])
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.corr(x, y)).alias("pearson"), r6(F.corr("rx", "ry")).alias("spearman"), r6(F.regr_slope(y, x)).alias("slope"), r6(F.regr_intercept(y, x)).alias("intercept"), r6(F.regr_r2(y, x)).alias("r2"))
+    a, b, r = F.col(x), F.col(y), pearson(F.col(x), F.col(y))
+    level = F.when(F.stddev_pop(b) > 0, r * r).when(F.stddev_pop(a) > 0, 1.0)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r6(r).alias("pearson"), r6(pearson(F.col("rx"), F.col("ry"))).alias("spearman"), r6(slope(b, a)).alias("slope"), r6(F.avg(b) - slope(b, a) * F.avg(a)).alias("intercept"), r6(level).alias("r2"))
 
 
 def influence(df: DataFrame, keys: Sequence[str], name: str, x: str, y: str) -> DataFrame:
@@ -236,3 +242,31 @@ def achieved_power(effect: Column, n: Column, alpha: float = 0.05, ratio_b: floa
 
 def detectable_effect(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     return (z_quantile(1 - alpha / 2) + z_quantile(power)) * F.sqrt(2 / n)
+
+
+def bootstrap_r2(df: DataFrame, keys: Sequence[str], row_id: str, x: str, y: str, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """R2 of a line with a percentile interval over resamples; replicates without variance in x or y are skipped."""
+    weights = lambda u: np.searchsorted(_POISSON, u).astype(float)
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(row_id).isNotNull())
+    moments = {"x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "yy": F.col(y) * F.col(y), "xy": F.col(x) * F.col(y)}
+    # The same weights per row and replicate in every pass, as they are hashes of the row's id.
+    reps = None
+    for name, c in moments.items():
+        one = _replicates(rows, keys, row_id, c, weights, replicates, seed).withColumnsRenamed({"w": f"w_{name}", "wx": name})
+        reps = one if reps is None else reps.join(one.drop(f"w_{name}"), [*keys, "replicate"])
+    n = F.col("w_x")
+    vx, vy, vxy = (n * F.col("xx") - F.col("x") * F.col("x")), (n * F.col("yy") - F.col("y") * F.col("y")), (n * F.col("xy") - F.col("x") * F.col("y"))
+    r2 = F.when((vx > 1e-9) & (vy > 1e-9), vxy * vxy / (vx * vy))
+    g = reps.select(*keys, r2.alias("r2")).filter("r2 is not null").groupBy(*keys).agg(F.avg("r2").alias("mean"), F.percentile("r2", [(1 - level) / 2, (1 + level) / 2]).alias("q"))
+    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.pow(pearson(F.col(x), F.col(y)), F.lit(2.0)).alias("r2"))
+    j = base.join(g, list(keys)) if keys else base.crossJoin(g)
+    return j.select(*keys, "n", r6(F.col("r2")).alias("r2"), r6(F.col("mean")).alias("bootstrap_mean"), r6(F.get("q", F.lit(0))).alias("low"), r6(F.get("q", F.lit(1))).alias("high"))
+
+
+def compare_groups(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, row_id: str, value: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """Two groups at a glance: effect size (Hedges' g below 20 rows a side, else Cohen's d), bootstrapped difference, permutation p-value."""
+    effects = effect_sizes(df, keys, group, a, b, value)
+    small = F.least("n_a", "n_b") < 20
+    effect = F.when(small, F.col("hedges_g")).otherwise(F.col("cohens_d"))
+    j = effects.join(bootstrap_difference(df, keys, group, a, b, row_id, value, replicates, seed=seed), list(keys)).join(label_permutation(df, keys, group, a, b, row_id, value, replicates, seed).select(*keys, "p_value"), list(keys))
+    return j.select(*keys, "n_a", "n_b", "difference", "low", "high", "p_value", F.when(small, "hedges_g").otherwise("cohens_d").alias("effect_kind"), effect.alias("effect"), "label")

@@ -124,6 +124,11 @@ def lift_vs_best(spark, d):
     return A.lift_over(predictions(spark, d), "reference_mode", "hierarchy_f1", "none")
 
 
+@query("WITH m AS (SELECT reference_mode, avg(hallucination_rate) AS m FROM predictions GROUP BY 1), o AS (SELECT max(m) FILTER (WHERE reference_mode = 'none') AS t, min(m) FILTER (WHERE reference_mode <> 'none') AS b FROM m) SELECT round(t, 6) AS tested_mean, round(b, 6) AS best_other_mean, round((b - t) / b, 6) AS lift, abs((b - t) / b) > 0.10 AS significant FROM o")
+def lift_vs_lowest(spark, d):
+    return A.lift_over(predictions(spark, d), "reference_mode", "hallucination_rate", "none", higher_is_better=False)
+
+
 @query("WITH m AS (SELECT model, context_level, avg(hierarchy_f1) AS m FROM predictions GROUP BY ALL) SELECT a.model, a.context_level, round(a.m, 6) AS mean, round((a.m - b.m) / b.m * 100, 6) AS improvement FROM m a JOIN m b ON a.model IS NOT DISTINCT FROM b.model AND b.context_level = 'minimal' WHERE a.context_level <> 'minimal' AND b.m > 0")
 def baseline_improvement(spark, d):
     return A.baseline_improvement(predictions(spark, d), "model", "context_level", "hierarchy_f1", "minimal")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspan.functions import jsontext as T
 from evalspan.functions import text as X
-from evalspan.functions.columns import r6, ratio
+from evalspan.functions.columns import pearson, r6, ratio
 from evalspan.operators import agreement as G
 from evalspan.operators import diversity as D
 from evalspan.operators import overlap as V
@@ -391,5 +391,5 @@ def verbatim_passages(spark, d):
 @query("SELECT corr(s, f) IS NOT NULL AS known, round(coalesce(corr(s, f), 0), 6) AS r, count(*) AS n FROM (SELECT tokens_used AS s, hierarchy_f1 AS f FROM predictions WHERE tokens_used IS NOT NULL AND hierarchy_f1 IS NOT NULL)")
 def score_length_correlation(spark, d):
     p = predictions(spark, d).filter("tokens_used is not null and hierarchy_f1 is not null")
-    r = F.corr("tokens_used", "hierarchy_f1")
+    r = pearson(F.col("tokens_used"), F.col("hierarchy_f1"))
     return p.agg(r.isNotNull().alias("known"), r6(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))).alias("r"), F.count("*").alias("n"))

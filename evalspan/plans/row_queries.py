@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalspan.functions import text as X
-from evalspan.functions.columns import ladder, r6, ratio
+from evalspan.functions.columns import COMPLEXITY, bucket, ladder, r6, ratio
 from evalspan.operators import agreement as G
 from evalspan.operators import ordered as O
 from evalspan.plans.aggregate_queries import MODELS, P, predictions
@@ -38,11 +38,10 @@ def nested_flatten(spark, d):
     return export_columns(flat, {"extraction_id": "extraction_id", "best_extraction.panel": "best_extraction.panel", "best_extraction.gating_hierarchy": "best_extraction.gating_hierarchy"}, {"n_panel": "concordance.panel"}, {"methods": ("concordance.panel", "methods")})
 
 
-@query(f"SELECT {_K} AS panel, revision, n AS n_colours, CASE WHEN n <= 6 THEN 'simple' WHEN n <= 12 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT *, len(list_filter(entries, lambda e: e.fluorophore IS NOT NULL AND upper(trim(e.fluorophore, ' ')) NOT IN ('FSC', 'SSC'))) AS n FROM panel)")
+@query(f"SELECT {_K} AS panel, revision, n AS n_colours, CASE WHEN n <= 15 THEN 'simple' WHEN n <= 25 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT *, len(list_filter(entries, lambda e: e.fluorophore IS NOT NULL AND upper(trim(e.fluorophore, ' ')) NOT IN ('FSC', 'SSC'))) AS n FROM panel)")
 def complexity_bucket(spark, d):
     n = F.size(F.filter("entries", lambda e: e["fluorophore"].isNotNull() & ~F.upper(F.trim(e["fluorophore"])).isin("FSC", "SSC")))
-    bucket = F.when(n <= 6, "simple").when(n <= 12, "medium").otherwise("complex")
-    return table(spark, d, "panel").select(F.upper(F.translate("test_case_id", "_", "-")).alias("panel"), "revision", n.alias("n_colours"), bucket.alias("complexity"))
+    return table(spark, d, "panel").select(F.upper(F.translate("test_case_id", "_", "-")).alias("panel"), "revision", n.alias("n_colours"), bucket(n, COMPLEXITY, "complex").alias("complexity"))
 
 
 def conjunction(df, equal: dict, least: dict):

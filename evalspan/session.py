@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="evalspan-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
 
 
@@ -26,11 +30,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, bytes_per_task: int = 2 << 20) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared checkpoint folder, removed when the session ends."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks.
 
     Input splits follow bytes on disk; text is compressed, so one split can hold minutes of Python work.
-    Rows are dealt out only where the scan yields fewer partitions than the session has cores.
+    Rows are dealt out only where the scan yields fewer partitions than the session has cores, that is for
+    input of a few splits; larger input is read where it lies, without a shuffle. Rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -51,7 +51,8 @@ def cached_responses(requests: DataFrame, key: Column, cache: DataFrame, tempera
 
 
 def markdown(df: DataFrame, limit: int = 50) -> str:
-    """First rows of a small result as a table."""
-    rows = df.limit(limit).collect()
+    """First rows of a small result as a table; a last line says so if there are more."""
+    rows = df.limit(limit + 1).collect()
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    more = [f"\n(first {limit} rows)"] if len(rows) > limit else []
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:limit]), *more])

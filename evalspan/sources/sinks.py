@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspan.session import cut_lineage
+
 
 def flatten_struct(df: DataFrame, separator: str = ".") -> DataFrame:
     """Structs at any depth as columns with joined names; arrays and maps stay as they are."""
@@ -49,12 +51,18 @@ def write_experiments(df: DataFrame, path: str, key: str = "experiment_id") -> N
     df.write.mode("overwrite").partitionBy(key).parquet(path)
 
 
-def keyed_overwrite(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str) -> None:
-    """Writes old rows without the keys of the new ones, and the new ones (later rows win among equal keys of ``new``)."""
-    ordered = new.withColumn("__i", F.monotonically_increasing_id())
-    last = ordered.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "__i").alias("r")).select("r.*")
-    kept = old.join(last.select(*keys), list(keys), "left_anti")
-    kept.unionByName(last.select(*old.columns)).write.mode("overwrite").parquet(path)
+def keyed_overwrite(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str, order: Sequence[str] = ()) -> None:
+    """Writes old rows without the keys of the new ones, and the new ones; of equal keys the last by ``order`` wins.
+
+    The rows are written to the shared checkpoint folder first, so ``path`` may be what ``old`` was read from. Keys are
+    compared null-safe; without an order, the greatest row wins.
+    """
+    rank = F.struct(*order) if order else F.struct(*new.columns)
+    last = new.groupBy(*keys).agg(F.max(F.struct(rank.alias("rank"), F.struct(*new.columns).alias("row"))).alias("r")).select("r.row.*")
+    taken = last.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    kept = old.join(taken, on, "left_anti")
+    cut_lineage(kept.unionByName(last.select(*old.columns))).write.mode("overwrite").parquet(path)
 
 
 def run_documents(runs: DataFrame, predictions: DataFrame, run_id: str = "run_id") -> DataFrame:
