@@ -102,6 +102,20 @@ UNION ALL SELECT collection, batch_no, 'removed', k, '' FROM gone g WHERE NOT EX
 UNION ALL SELECT collection, batch_no, 'added', '', k FROM come c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.collection = c.collection AND r.batch_no = c.batch_no AND r.new = c.k)
 UNION ALL SELECT b.collection, b.batch_no, 'retyped', n.k, n.k FROM b JOIN s n ON n.collection = b.collection AND n.batch_no = b.batch_no JOIN s p ON p.collection = b.collection AND p.batch_no = b.before AND p.k = n.k WHERE len(n.kinds) > 0 AND len(p.kinds) > 0 AND n.kinds <> p.kinds"""
 
+# JSON with the keys of objects in order, at the two levels that occur here.
+_SORTED = lambda v: "'{' || array_to_string(list_transform(list_sort(json_keys({v})), lambda k: '\"' || k || '\":' || CAST(json_extract({v}, '$.\"' || k || '\"') AS VARCHAR)), ',') || '}'".replace("{v}", v)
+_TEXT = f"CASE json_type(@) WHEN 'OBJECT' THEN {_SORTED('@')} WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract(@, '$[*]'), lambda e: CASE json_type(e) WHEN 'OBJECT' THEN {_SORTED('e')} ELSE CAST(e AS VARCHAR) END), ',') || ']' ELSE CAST(@ AS VARCHAR) END"
+_P2_TABLE = _P2[: _P2.index("SELECT collection, batch_no, 'renamed' AS change")].replace("WITH o AS", "WITH RECURSIVE o AS").rstrip() + """,
+e AS (SELECT r.collection, r.batch_no, b.before, old, new FROM r JOIN b ON b.collection = r.collection AND b.batch_no = r.batch_no),
+p AS (SELECT e.*, (SELECT max(x.batch_no) FROM e x WHERE x.collection = e.collection AND x.new = e.old AND x.batch_no <= e.before) AS pb FROM e),
+c AS (SELECT collection, batch_no, new, old AS name FROM p WHERE pb IS NULL UNION ALL SELECT p.collection, p.batch_no, p.new, c.name FROM p JOIN c ON c.collection = p.collection AND c.batch_no = p.pb AND c.new = p.old),
+l AS (SELECT s.collection, s.batch_no, s.k, s.kinds, coalesce((SELECT arg_max(c.name, c.batch_no) FROM c WHERE c.collection = s.collection AND c.new = s.k AND c.batch_no <= s.batch_no), s.k) AS canonical FROM s),
+y AS (SELECT collection, canonical, list_sort(list_distinct(flatten(list(coalesce(kinds, []))))) AS kinds FROM l GROUP BY ALL),
+z AS (SELECT collection, canonical, CASE WHEN len(list_filter(kinds, lambda k: k LIKE 'array<%')) > 0 THEN CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE 'array<string>' END WHEN len(kinds) > 1 THEN 'string' ELSE kinds[1] END AS type FROM y),
+v AS (SELECT t.collection, t.batch_no, t.tc, l.canonical, z.type, t.kind, t.v, """ + _TEXT.replace("@", "t.v") + """ AS json, CASE WHEN t.kind = 'string' THEN json_extract_string(t.v, '$') ELSE """ + _TEXT.replace("@", "t.v") + """ END AS text FROM t JOIN l ON l.collection = t.collection AND l.batch_no = t.batch_no AND l.k = t.k JOIN z ON z.collection = l.collection AND z.canonical = l.canonical)
+SELECT collection, batch_no, tc AS case_id, canonical AS field, type, CASE WHEN kind IS NULL THEN NULL WHEN kind = type OR (type = 'array<string>' AND kind = 'array<string>') THEN json
+  WHEN type = 'array<string>' AND kind LIKE 'array<%' THEN CAST(to_json(list_transform(json_extract(v, '$[*]'), lambda x: """ + _TEXT.replace("@", "x").replace("lambda e:", "lambda q:").replace("json_type(e)", "json_type(q)").replace("json_keys(e)", "json_keys(q)").replace("json_extract(e,", "json_extract(q,").replace("CAST(e AS", "CAST(q AS") + """)) AS VARCHAR) WHEN type = 'array<string>' THEN CAST(to_json([text]) AS VARCHAR) ELSE CAST(to_json(text) AS VARCHAR) END AS value FROM v"""
+
 _DATA = "CASE WHEN json_type(d) = 'VARCHAR' THEN CAST(json_extract_string(d, '$') AS JSON) ELSE d END"
 _P4 = f"""
 WITH RECURSIVE v AS (SELECT record_id, CAST(body AS JSON) AS j FROM raw_extractions WHERE json_valid(body)),
@@ -116,4 +130,14 @@ SELECT record_id, 'entry' AS kind, '' AS parent_path, CAST(i AS VARCHAR) AS node
 UNION ALL SELECT record_id, 'gate', parent_path, path FROM g
 UNION ALL SELECT record_id, 'logic', path, path || '/' || i FROM l"""
 
-ORACLES: dict[str, str] = {"p5_found": _P5, "p2_found": _P2, "p4_found": _P4}
+_P4_GATES = _P4[: _P4.index("e AS (SELECT record_id, unnest(range(")].rstrip().rstrip(",") + """
+SELECT record_id, parent_path, path AS node_path, coalesce(json_extract_string(n, '$.name'), CASE WHEN json_type(json_extract(n, '$.marker')) = 'VARCHAR' THEN json_extract_string(n, '$.marker') END) AS name,
+  len(path) - len(replace(path, '.', '')) AS depth, json_extract_string(n, '$.gate_type') AS gate_type, CAST(json_extract_string(n, '$.is_critical') AS BOOLEAN) AS is_critical FROM g"""
+_P4_CONCORDANCE = """SELECT extraction_id, CAST(i - 1 AS VARCHAR) AS node_path, p[i].methods AS methods, p[i].metric AS metric, p[i].score AS score
+FROM (SELECT extraction_id, concordance.panel AS p, unnest(range(1, len(concordance.panel) + 1)) AS i FROM extractions) WHERE p[i] IS NOT NULL"""
+_SIDES = _P5[: _P5.index("SELECT k AS test_case_id, '' AS channel, 'row' AS field")]
+_P5_VALUES = f"""{_SIDES}
+SELECT a.k AS test_case_id, '' AS channel, 'best_extraction.panel' AS field, a.b AS left_value, b.b AS right_value FROM a JOIN b ON a.k = b.k WHERE {_NORMAL.format(x='a.b')} <> {_NORMAL.format(x='b.b')}
+UNION ALL """ + " UNION ALL ".join(f"SELECT a.k, a.ch, '{f}', a.e.{f}, b.e.{f} FROM ea a JOIN eb b ON a.k = b.k AND a.ch = b.ch WHERE {_NORMAL.format(x=f'a.e.{f}')} <> {_NORMAL.format(x=f'b.e.{f}')}" for f in ENTRY_FIELDS)
+
+ORACLES: dict[str, str] = {"p5_found": _P5, "p5_values": _P5_VALUES, "p2_found": _P2, "p2_table": _P2_TABLE, "p4_found": _P4, "p4_gates": _P4_GATES, "p4_concordance": _P4_CONCORDANCE}
