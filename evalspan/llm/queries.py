@@ -206,7 +206,14 @@ SELECT n.grp AS group_id, n.n_records, ic.omip, ic.pmc, ic.doi, ic.title, pc.pan
 FROM n JOIN ic ON ic.grp = n.grp AND ic.place = 1 LEFT JOIN pc ON pc.grp = n.grp AND pc.place = 1"""
 
 _CLEAN = r"lower(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '), '<[^<>]*>', ' ', 'g'), '\[\s*\d+(\s*[,;–-]\s*\d+)*\s*\]', ' ', 'g'), 'ﬁ', 'fi'), chr(160), ' '), '\x{00ad}(\s*\n\s*)?', '', 'g'), '([\p{L}\p{N}])[-‐‑][ \t]*\n\s*([\p{L}\p{N}])', '\1\2', 'g'))"
-_WINDOWS = "(SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) AS x FROM (SELECT @id AS id, regexp_extract_all(" + _CLEAN + r", '[\p{L}\p{N}]+') AS w FROM @table WHERE text IS NOT NULL) WHERE len(w) >= 12)"
-_P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_WINDOWS.replace('@id', 'doc_id').replace('@table', 'documents')} d JOIN {_WINDOWS.replace('@id', 'item_id').replace('@table', 'eval_items')} i ON d.x = i.x"
-
-ORACLES: dict[str, str] = {"p1_found": _P1, "p1_golden": _P1_GOLDEN, "p6_found": _P6}
+_WINDOWS = "(SELECT id, pos, array_to_string(list_slice(w, pos, pos + 11), ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS pos FROM (SELECT @id AS id, regexp_extract_all(" + _CLEAN + r", '[\p{L}\p{N}]+') AS w FROM @table WHERE text IS NOT NULL) WHERE len(w) >= 12))"
+_MET = f"{_WINDOWS.replace('@id', 'doc_id').replace('@table', 'documents')} d JOIN {_WINDOWS.replace('@id', 'item_id').replace('@table', 'eval_items')} i ON d.x = i.x"
+_P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_MET}"
+# Hits of one document and item on one diagonal that follow each other are a run.
+_P6_ITEMS = f"""
+WITH h AS (SELECT d.id AS doc_id, i.id AS item_id, d.pos - i.pos AS diagonal, d.pos AS pos FROM {_MET}),
+r AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY pos) AS island FROM h) GROUP BY doc_id, item_id, diagonal, island),
+l AS (SELECT item_id, count(DISTINCT doc_id) AS n, max(run) AS longest FROM r GROUP BY item_id)
+SELECT item_id, task, coalesce(n, 0) AS n_documents, coalesce(longest, 0) AS longest_run FROM eval_items LEFT JOIN l USING (item_id)"""
+
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_golden": _P1_GOLDEN, "p6_found": _P6, "p6_items": _P6_ITEMS}
