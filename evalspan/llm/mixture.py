@@ -45,16 +45,16 @@ def source_key(source: Column) -> Column:
 
 
 def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds the number of tokens of ``text``; the vocabulary's path is the same on every node."""
+    """Adds the number of tokens of ``text``; the vocabulary (a path on the driver, some 1 MB) is broadcast, executors need no file."""
+    import base64
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import base64
+    with open(vocabulary, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
 
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for part in parts:
             sizes = [len(encoding.encode_ordinary(x)) if isinstance(x, str) else 0 for x in part["text"]]
             yield part.drop(columns="text").assign(tokens=np.array(sizes, np.int64))
@@ -133,6 +133,6 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     facts = spark.createDataFrame([(s, share, repeats, *sizes.get(s, (0, 0)), quota.get(s, 0) * block) for s, share, repeats in wanted], "source string, target_share double, max_repeats int, documents bigint, tokens bigint, quota bigint")
     other = counted.filter(F.col("source").isNull() | ~F.col("source").isin(names)).groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")).select("source", F.lit(0.0).alias("target_share"), F.lit(0).alias("max_repeats"), "documents", "tokens", F.lit(0).cast("bigint").alias("quota"))
     joined = facts.unionByName(other).join(got, F.col("source") == F.col("g"), "left").drop("g").fillna(0, ["chosen_documents", "chosen_tokens"])
-    every = Window.partitionBy()
-    report = joined.withColumn("actual_share", F.coalesce(F.col("chosen_tokens") / F.sum("chosen_tokens").over(every), F.lit(0.0)))
+    every = got.agg(F.sum("chosen_tokens").alias("every"))  # one row
+    report = joined.crossJoin(every).withColumn("actual_share", F.coalesce(F.col("chosen_tokens") / F.col("every"), F.lit(0.0))).drop("every")
     return chosen, report

@@ -41,6 +41,8 @@ SHARES = (0.01, 0.02, 0.04, 0.08, 0.16, 0.32)
 #: Sentence lengths outside say that punctuation was lost, or stands for something else.
 PLAUSIBLE = (4.0, 45.0)
 SHRINKAGE = 0.2
+#: Share of the words of an English text that are among its function words, at least: keeps out languages without a list.
+LEAST_ENGLISH = 0.05
 #: Labelled samples used for the fit at most.
 MAX_SAMPLES = 20_000
 #: Distinct words held per task before partial counts are emitted.
@@ -72,9 +74,11 @@ def _hits(tokens: list[str]) -> dict[str, int]:
 def is_english(text: str, tokens: list[str]) -> bool:
     """Whether the text is in English; doubtful ones, as with long quotations, are by the language of most sentences."""
     hits = _hits(tokens)
+    if hits["en"] < LEAST_ENGLISH * len(tokens):
+        return False
     other = max(n for code, n in hits.items() if code != "en")
     if hits["en"] >= 4 * other:
-        return hits["en"] > 0
+        return True
     if other >= 4 * hits["en"]:
         return False
     votes: Counter = Counter()
@@ -149,6 +153,8 @@ def familiar_words(frequencies: DataFrame) -> dict[str, int]:
 
 
 N_LISTS = len(STRATA) * len(SHARES)
+#: The list of the plain formula: words of the whole corpus at the middle share.
+PLAIN = (N_LISTS - len(SHARES) // 2 - 1,)
 
 
 class Features:
@@ -188,15 +194,16 @@ class Discriminant:
 
 
 class LevelModel:
-    """Discriminants with and without sentence length."""
+    """Discriminants with and without sentence length; ``lists`` are the numbers of the lists that they use."""
 
-    def __init__(self, familiar: dict[str, int], samples: list[tuple[int, str]]) -> None:
+    def __init__(self, familiar: dict[str, int], samples: list[tuple[int, str]], lists: tuple[int, ...] = tuple(range(N_LISTS))) -> None:
         self.features = Features(familiar)
+        self.lists = list(lists)
         rows = [(level, alpha, length) for level, text in samples for _, alpha, length in _english([text], 1)]
         if len({r[0] for r in rows}) < 2:
             raise ValueError("samples of two levels at least are needed")
         y = np.array([r[0] for r in rows])
-        shares = np.array([self.features(r[1]) for r in rows])
+        shares = np.array([self.features(r[1]) for r in rows])[:, self.lists]
         lengths = np.array([r[2] for r in rows])
         known = lengths > 0
         self.alone = Discriminant.fit(shares, y)
@@ -207,15 +214,18 @@ class LevelModel:
         return np.column_stack([shares, np.log(lengths) / 4])
 
     def levels(self, shares: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        shares = shares[:, self.lists]
         out = self.alone(shares)
         if self.with_length is not None and (known := lengths > 0).any():
             out[known] = self.with_length(self._both(shares[known], lengths[known]))
         return out
 
 
-def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 60) -> DataFrame:
+def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 60, graded: bool = True) -> DataFrame:
     """(doc_id, level, unfamiliar, sentence_length) of the English documents (doc_id, text) with ``min_words`` or more.
 
+    ``graded`` uses all graded lists, otherwise the plain formula: one list and sentence length.
+
     samples: (level, text). ``unfamiliar`` is the share of words outside the list of the plainest
     stratum at the middle share; sentence_length is null where punctuation was lost.
     """
@@ -223,7 +233,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 60
     corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     familiar = familiar_words(cut_lineage(document_frequencies(corpus, min_words)))  # the corpus is counted once
     labelled = [(int(r[0]), r[1]) for r in samples.filter("level is not null and text is not null").select("level", "text").limit(MAX_SAMPLES).collect()]
-    model = spark.sparkContext.broadcast(LevelModel(familiar, labelled))
+    model = spark.sparkContext.broadcast(LevelModel(familiar, labelled, tuple(range(N_LISTS)) if graded else PLAIN))
     shown = len(SHARES) // 2
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
