@@ -96,15 +96,22 @@ def interval_overlap(left: DataFrame, right: DataFrame, lo: str, hi: str, cell:
 def most_specific_container(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Largest proper subset among the parents' sets for every child: child, parent.
 
-    children (child, elements), parents (parent, elements): candidates come from an equi-join on one
-    element and are counted; a parent is contained if all its elements were met. Equal sizes fall to
-    the least name; empty sets are nobody's parent.
+    children (child, elements), parents (parent, elements): a set is contained only if its rarest element is
+    (the one in the fewest parents' sets, the least of equals), so every parent is looked up by that element alone and
+    the rest is verified on the arrays; an element that all sets have is nobody's way in unless it's all a set has.
+    Equal sets among the parents are looked up once. Equal sizes fall to the least name; empty sets are nobody's parent.
     """
-    p = parents.select("parent", F.array_distinct("elements").alias("pe")).withColumn("pn", F.size("pe"))
-    c = children.select("child", F.array_distinct("elements").alias("ce")).withColumn("cn", F.size("ce"))
-    met = c.select("child", "cn", F.explode("ce").alias("x")).join(p.select("parent", "pn", F.explode("pe").alias("x")), "x")
-    held = met.groupBy("child", "cn", "parent", "pn").agg(F.count("*").alias("k")).filter("k = pn and pn < cn and child <> parent")
-    best = held.groupBy("child").agg(F.min_by("parent", F.struct(-F.col("pn"), F.col("parent"))).alias("parent"))
+    sets = parents.select("parent", F.array_sort(F.array_distinct("elements")).alias("pe")).filter(F.size("pe") > 0)
+    distinct = sets.groupBy("pe").agg(F.min("parent").alias("first"))
+    other = sets.join(distinct, "pe").filter(F.col("parent") != F.col("first")).groupBy("pe").agg(F.min("parent").alias("second"))
+    rarity = distinct.select(F.explode("pe").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    rarest = distinct.select("pe", F.explode("pe").alias("x")).join(rarity, "x").groupBy("pe").agg(F.min(F.struct("df", "x")).alias("r")).select("pe", F.col("r.x").alias("x"))
+    p = distinct.join(rarest, "pe").join(other, "pe", "left")
+    c = children.select("child", F.array_distinct("elements").alias("ce"))
+    met = c.select("child", "ce", F.explode("ce").alias("x")).join(p, "x").filter((F.size("pe") < F.size("ce")) & (F.size(F.array_except("pe", "ce")) == 0))
+    # A child is no parent of its own, under whatever set its name occurs.
+    name = F.when(F.col("first") != F.col("child"), F.col("first")).otherwise(F.col("second"))
+    best = met.withColumn("parent", name).filter("parent is not null").groupBy("child").agg(F.min_by("parent", F.struct(-F.size("pe"), F.col("parent"))).alias("parent"))
     return children.select("child").join(best, "child", "left")
 
 

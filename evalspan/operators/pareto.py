@@ -1,8 +1,7 @@
 """Pareto frontiers and cost ratios.
 
-The frontier is found in two rounds: every task keeps the frontier of its own rows (a point that is
-dominated within a task is dominated at all), and what is left of all tasks is reduced again. Pairs of
-all points are never formed. Defined results: null objectives count as 0; equal points all stay;
+Every task keeps the frontier of its own rows (a point that is dominated within a task is dominated at
+all), and what is left of all tasks meets in ranges of the first objective. Pairs of all points are never formed. Defined results: null and NaN objectives count as 0; equal points all stay;
 an empty table has an empty frontier.
 """
 
@@ -16,6 +15,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspan.functions.columns import r6, ratio
+from evalspan.session import cut_lineage
+
+
+def _undominated(m: np.ndarray) -> np.ndarray:
+    """Positions of the rows that no other row dominates (all columns maximised), in order."""
+    order = np.lexsort(tuple(-m[:, i] for i in reversed(range(m.shape[1]))))
+    if m.shape[1] == 2:  # sweep: the best second objective of all rows with a greater first one
+        x, y = m[order, 0], m[order, 1]
+        top = np.maximum.accumulate(y)
+        head = np.flatnonzero(np.diff(x, prepend=np.nan) != 0)  # first row of equal first objectives has the best second
+        group = np.cumsum(np.isin(np.arange(len(x)), head)) - 1
+        above = np.concatenate([[-np.inf], top[head[1:] - 1]]) if len(head) else top
+        return np.sort(order[(y == y[head][group]) & (y > above[group])])
+    front: list[int] = []
+    points, n = np.empty((16, m.shape[1])), 0
+    for i in order:  # a point can only be dominated by one that comes before it
+        p, held = m[i], points[:n]
+        if not ((held >= p).all(1) & (held > p).any(1)).any():
+            front.append(i)
+            if n == len(points):
+                points = np.concatenate([points, np.empty_like(points)])
+            points[n] = p
+            n += 1
+    return np.array(sorted(front), np.int64)
 
 
 def _local(columns: list[str]):
@@ -23,28 +46,41 @@ def _local(columns: list[str]):
         kept: pd.DataFrame | None = None
         for part in parts:
             both = part if kept is None else pd.concat([kept, part], ignore_index=True)
-            m = both[columns].to_numpy(float)
-            order = np.lexsort(tuple(-m[:, i] for i in reversed(range(m.shape[1]))))
-            front: list[int] = []
-            points = np.empty((0, m.shape[1]))
-            for i in order:  # a point can only be dominated by one that comes before it
-                p = m[i]
-                if not ((points >= p).all(1) & (points > p).any(1)).any():
-                    front.append(i)
-                    points = np.vstack([points, p])
-            kept = both.iloc[sorted(front)]
+            kept = both.iloc[_undominated(both[columns].to_numpy(float))]
         if kept is not None:
             yield kept
 
     return reduce_part
 
 
+#: Ranges of the first objective in which the points that are left meet.
+RANGES = 64
+
+
 def frontier(df: DataFrame, objectives: dict[str, bool]) -> DataFrame:
-    """Rows that no other row dominates; objectives: column -> whether it is maximised."""
-    signed = {f"__o{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (1 if up else -1) for i, (c, up) in enumerate(objectives.items())}
+    """Rows that no other row dominates; objectives: column -> whether it is maximised.
+
+    What is left of all tasks is cut into ranges of the first objective. With two objectives a range needs one
+    number of the ranges above it, the best second objective; with more, ranges meet in pairs, round by round, and
+    what dominates within a pair is gone before the next round.
+    """
+    signed = {f"__o{i}": F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) * (1 if up else -1) for i, (c, up) in enumerate(objectives.items())}
+    names = list(signed)
     tagged = df.withColumns(signed)
-    once = tagged.mapInPandas(_local(list(signed)), tagged.schema)
-    return once.repartition(1).mapInPandas(_local(list(signed)), tagged.schema).drop(*signed)
+    once = cut_lineage(tagged.mapInPandas(_local(names), tagged.schema))
+    if len(names) != 2:
+        n = RANGES
+        while n >= 1:
+            once = once.repartitionByRange(n, names[0]).mapInPandas(_local(names), tagged.schema)
+            n //= 8
+        return once.drop(*names)
+    edges = sorted(set(once.approxQuantile(names[0], [i / RANGES for i in range(1, RANGES)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(names[0]))) if edges else F.lit(0)
+    ranged = once.withColumn("__r", part)
+    tops = [(r[0], r[1]) for r in ranged.groupBy("__r").agg(F.max(names[1])).collect()]  # RANGES rows at most
+    above = df.sparkSession.createDataFrame([(r, max((t for q, t in tops if q > r), default=float("-inf"))) for r, _ in tops], "__q int, __top double")
+    local = ranged.repartition(F.col("__r")).mapInPandas(_local(names), ranged.schema)
+    return local.join(F.broadcast(above), F.col("__r") == F.col("__q")).filter(F.col(names[1]) > F.col("__top")).select(*df.columns)
 
 
 def hypervolume(front: DataFrame, x: str, y: str) -> DataFrame:

@@ -61,9 +61,9 @@ def stratification(spark, d):
 _TOK = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
 
 
-@query(f"WITH t AS (SELECT source, length(text) AS len, {_TOK} AS w FROM documents WHERE text IS NOT NULL), v AS (SELECT source, count(DISTINCT x) AS vocabulary FROM (SELECT source, unnest(w) AS x FROM t) GROUP BY 1), b AS (SELECT source, count(*) AS n, round(avg(len), 6) AS mean_length, round(stddev_pop(len), 6) AS std_length, sum(len(w)) AS tokens, round(avg(len(list_distinct(w))), 6) AS mean_unique_words, count(*) - count(DISTINCT array_to_string(list_sort(list_distinct(w)), ' ')) AS copies FROM t GROUP BY 1) SELECT b.source, n, mean_length, std_length, coalesce(vocabulary, 0) AS vocabulary, round(CASE WHEN tokens > 0 THEN vocabulary / tokens ELSE 0 END, 6) AS type_token_ratio, mean_unique_words, round(copies / n, 6) AS duplicate_rate FROM b JOIN v USING (source)")
+@query(f"WITH t AS (SELECT source, length(text) AS len, {_TOK} AS w FROM documents WHERE text IS NOT NULL), v AS (SELECT source, count(DISTINCT x) AS vocabulary FROM (SELECT source, unnest(w) AS x FROM t) GROUP BY 1), b AS (SELECT source, count(*) AS n, round(avg(len), 6) AS mean_length, round(stddev_pop(len), 6) AS std_length, sum(len(w)) AS tokens, round(avg(len(list_distinct(w))), 6) AS mean_unique_words, count(*) - count(DISTINCT array_to_string(list_sort(list_distinct(w)), ' ')) AS copies FROM t GROUP BY 1) SELECT b.source, n, mean_length, std_length, coalesce(vocabulary, 0) AS vocabulary, round(CASE WHEN tokens > 0 THEN vocabulary / tokens ELSE 0 END, 6) AS type_token_ratio, mean_unique_words, round(copies / n, 6) AS duplicate_rate FROM b LEFT JOIN v ON v.source IS NOT DISTINCT FROM b.source")
 def content_diversity(spark, d):
-    return D.content_diversity(spread(table(spark, d, "documents").select("source", "text").filter("source is not null")), "text", ["source"])
+    return D.content_diversity(spread(table(spark, d, "documents").select("source", "text")), "text", ["source"])
 
 
 @query("WITH g AS (SELECT avg(CAST(hierarchy_f1 < 0.3 AS DOUBLE)) AS e, avg(CAST(hierarchy_f1 >= 0.3 AND hierarchy_f1 < 0.7 AS DOUBLE)) AS m, avg(CAST(hierarchy_f1 >= 0.7 AS DOUBLE)) AS h FROM predictions WHERE hierarchy_f1 IS NOT NULL) SELECT round(e, 6) AS easy, round(m, 6) AS medium, round(h, 6) AS hard, round(abs(e - 0.3) + abs(m - 0.4) + abs(h - 0.3), 6) AS deviation, abs(e - 0.3) + abs(m - 0.4) + abs(h - 0.3) < 0.3 AS well_distributed FROM g")
