@@ -21,6 +21,8 @@ from evalspan.functions.columns import ladder, normal_cdf, pearson, r6, ratio, s
 
 #: Rows and replicates drawn at a time.
 BLOCK, REPLICATES_AT_ONCE = 4096, 1000
+#: Sums held by a task (two per group and replicate, 8 bytes each) before partial ones are emitted.
+HELD_SUMS = 8_000_000
 
 
 def _uniform(ids: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
@@ -40,6 +42,12 @@ _POISSON = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in
 def _sums(weights, columns: Sequence[str], replicates: int, seed: int):
     def part_sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
+
+        def emitted() -> pd.DataFrame:
+            rows = [(*key, acc[0].tolist(), acc[1].tolist()) for key, acc in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*columns, "w", "wx"])
+
         for part in parts:
             for key, rows in part.groupby(list(columns), dropna=False) if columns else [((), part)]:
                 acc = held.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, replicates)))
@@ -48,8 +56,9 @@ def _sums(weights, columns: Sequence[str], replicates: int, seed: int):
                     for r in range(0, replicates, REPLICATES_AT_ONCE):
                         w = weights(_uniform(ids[i : i + BLOCK], r, min(replicates, r + REPLICATES_AT_ONCE), seed))
                         acc[:, r : r + REPLICATES_AT_ONCE] += np.stack([w.sum(0), x[i : i + BLOCK] @ w])
-        rows = [(*key, acc[0].tolist(), acc[1].tolist()) for key, acc in held.items()]
-        yield pd.DataFrame(rows, columns=[*columns, "w", "wx"])
+                if 2 * replicates * len(held) > HELD_SUMS:
+                    yield emitted()
+        yield emitted()
 
     return part_sums
 

@@ -16,6 +16,7 @@ from evalspan.operators import costs as K
 from evalspan.operators import joins as J
 from evalspan.operators import names as N
 from evalspan.operators import ordered as O
+from evalspan.operators import plugins as PL
 from evalspan.operators import scoring as SC
 from evalspan.operators import spectra as S
 from evalspan.operators import statistics as ST
@@ -418,3 +419,71 @@ def greedy_name_match(spark, d):
     first = e.select("test_case_id", F.substring("m", 1, 2).alias("g"), F.col("m").alias("a"))
     pairs = first.join(first.withColumnRenamed("a", "b"), ["test_case_id", "g"]).select("test_case_id", "a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.6).alias("similarity"))
     return TR.one_to_one(pairs, ["test_case_id"], "a", "b", "similarity", 0.5, optimal=False).select("test_case_id", "a", "b", "similarity")
+
+
+# Extension points.
+
+EXTRACTORS = PL.Registry("extractor")
+
+
+@EXTRACTORS.register("digits")
+def _digits(c):
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d+)", 1)
+
+
+@query("SELECT id, regexp_extract(coalesce(raw_response, ''), '(\\d+)', 1) AS extracted, CAST(regexp_extract(coalesce(raw_response, ''), '(\\d+)', 1) = CAST(bootstrap_run AS VARCHAR) AS INT) AS score FROM predictions")
+def evaluated_responses(spark, d):
+    """An extractor of one's own, by name, and a scorer."""
+    p = predictions(spark, d).select("id", "raw_response", F.col("bootstrap_run").cast("string").alias("expected"))
+    return PL.evaluated(p, "raw_response", "expected", EXTRACTORS["digits"], lambda a, b: (a == b).cast("int")).select("id", "extracted", "score")
+
+
+@query("SELECT id, 'long' AS judge, (length(coalesce(raw_response, '')) > 200)::INT::DOUBLE AS score FROM predictions UNION ALL SELECT id, 'filled', (raw_response IS NOT NULL)::INT::DOUBLE FROM predictions")
+def plugged_judges(spark, d):
+    judges = {"long": lambda c: F.length(F.coalesce(c, F.lit(""))) > 200, "filled": lambda c: c.isNotNull()}
+    return PL.judged(predictions(spark, d).select("id", "raw_response"), judges, "raw_response").select("id", "judge", "score")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN upper(props) WHEN 'view' THEN CAST(length(props) AS VARCHAR) END AS result, coalesce(event_type IN ('click', 'view'), false) AS known FROM events")
+def dispatched_tools(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "props")
+    return PL.dispatched(e, "event_type", "props", {"click": F.upper, "view": F.length}).select("event_id", "result", "known")
+
+
+@query("SELECT feature, value, count(*) AS n FROM (SELECT 'first' AS feature, substr(lower(text), 1, 1) AS value FROM documents UNION ALL SELECT 'lines', CAST(length(text) - length(replace(text, chr(10), '')) > 5 AS VARCHAR) FROM documents) GROUP BY ALL")
+def own_features(spark, d):
+    t = F.col("text")
+    f = PL.features(table(spark, d, "documents").select("text"), {"first": F.substring(F.lower(t), 1, 1), "lines": F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) > 5})
+    return f.groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+STRATEGIES = (("direct", "Give the gates of {case} ({species})."), ("stepwise", "Think first. Then give the gates of {case}; {case} has {n}."))
+
+
+@query("SELECT test_case_id, 'direct' AS strategy, 'Give the gates of ' || test_case_id || ' (' || coalesce(species, '') || ').' AS prompt FROM test_cases UNION ALL SELECT test_case_id, 'stepwise', 'Think first. Then give the gates of ' || test_case_id || '; ' || test_case_id || ' has ' || coalesce(n_gates::VARCHAR, '') || '.' FROM test_cases")
+def composed_prompts(spark, d):
+    templates = spark.createDataFrame(list(STRATEGIES), "strategy string, template string")
+    cases = table(spark, d, "test_cases").select("test_case_id", "species", "n_gates")
+    return PL.prompts(cases, templates, {"case": F.col("test_case_id"), "species": F.col("species"), "n": F.col("n_gates")}).select("test_case_id", "strategy", "prompt")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")
+def transformed_rows(spark, d):
+    return PL.transformed(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), lambda p: p.assign(doubled=p["o_totalprice"] * 2)[["o_orderkey", "doubled"]], "o_orderkey bigint, doubled double")
+
+
+def _log_part(rows):
+    import numpy as np
+
+    x = rows["latency_ms"].dropna()
+    x = x[x > 0]
+    return len(x), float(np.log(x.astype(float)).sum())
+
+
+@query("SELECT model, round(exp(avg(ln(latency_ms))), 4) AS statistic FROM predictions WHERE latency_ms > 0 GROUP BY model")
+def geometric_means(spark, d):
+    """A statistic of one's own, from parts that can be merged."""
+    import math
+
+    g = PL.own_statistic(predictions(spark, d), ["model"], ["latency_ms"], _log_part, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: math.exp(s[1] / s[0]) if s[0] else None)
+    return g.filter("statistic is not null").select("model", F.round("statistic", 4).alias("statistic"))
