@@ -234,7 +234,10 @@ def user_activity(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("value") > 10, 1.0).otherwise(0.0))).alias("rate"), r6(F.stddev_samp("value")).alias("std"), ladder(F.avg("value"), [(12, "high"), (8, "medium")], "low").alias("label"))
 
 
-@query()
+_STEP = "CASE WHEN i + 1 < 10 OR len(a) < 5 THEN t WHEN len(list_filter(a, lambda x: x.ok)) / len(a) < 0.8 THEN least(0.99::DOUBLE, t + 0.05::DOUBLE) ELSE greatest(0.01::DOUBLE, t - 0.05::DOUBLE / 2) END"
+
+
+@query(f"WITH RECURSIVE u AS (SELECT user_id, list({{'c': value / 100, 'ok': event_type <> 'error'}} ORDER BY ts, event_id) AS o FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1), s AS (SELECT user_id, o, 0 AS i, 0.5::DOUBLE AS t FROM u UNION ALL SELECT user_id, o, i + 1, {_STEP} FROM (SELECT *, list_filter(o[greatest(1, i - 48):i + 1], lambda x: x.c >= t) AS a FROM s WHERE i < len(o))) SELECT user_id, len(o) AS n, round(t, 6) AS threshold FROM s WHERE i = len(o)")
 def adaptive_threshold(spark, d):
     """Threshold per user after all events in order (see streaming.stateful for the stream)."""
     from evalspan.streaming.stateful import adaptive_thresholds
