@@ -198,16 +198,19 @@ def confidence_bands(spark, d):
     return predictions(spark, d).select("id", score.cast("bigint").alias("score"), band.alias("band"), (score > 50).alias("trusted"))
 
 
-_PAIR = "(SELECT a.id AS a_id, b.id AS b_id, a.hierarchy_precision * 10 AS a1, b.hierarchy_precision * 10 AS b2, b.hierarchy_recall * 10 AS b1, a.hierarchy_recall * 10 AS a2 FROM (SELECT *, row_number() OVER (PARTITION BY test_case_id, model ORDER BY id) AS rn FROM predictions WHERE hierarchy_precision IS NOT NULL AND hierarchy_recall IS NOT NULL) a JOIN (SELECT *, row_number() OVER (PARTITION BY test_case_id, model ORDER BY id) AS rn FROM predictions WHERE hierarchy_precision IS NOT NULL AND hierarchy_recall IS NOT NULL) b ON a.test_case_id = b.test_case_id AND a.model = b.model AND a.rn = 1 AND b.rn = 2)"
+_PAIR = "(SELECT a.id AS a_id, a.hierarchy_precision * 10 AS a1, a.hierarchy_recall * 10 AS a2, b.id AS b_id, b.hierarchy_recall * 10 AS b1, b.hierarchy_precision * 10 AS b2 FROM {r} a JOIN {r} b ON a.test_case_id IS NOT DISTINCT FROM b.test_case_id AND a.model IS NOT DISTINCT FROM b.model AND b.rn = a.rn + 1 AND a.rn % 2 = 1)".format(r="(SELECT *, row_number() OVER (PARTITION BY test_case_id, model ORDER BY id) AS rn FROM predictions WHERE hierarchy_precision IS NOT NULL AND hierarchy_recall IS NOT NULL)")
 _WIN = lambda x, y: f"CASE WHEN abs({x} - {y}) < 0.5 THEN 'tie' WHEN {x} > {y} THEN 'a' ELSE 'b' END"
 
 
 @query(f"SELECT a_id, b_id, round((a1 + a2) / 2, 6) AS score_a, round((b1 + b2) / 2, 6) AS score_b, {_WIN('((a1 + a2) / 2)', '((b1 + b2) / 2)')} AS winner, {_WIN('a1', 'b2')} <> {_WIN('a2', 'b1')} AS order_bias, round(least(1.0, abs((a1 + a2) / 2 - (b1 + b2) / 2) / 10), 6) AS confidence FROM {_PAIR}")
 def debiased_comparison(spark, d):
+    """All rows of a case and model, two neighbours in order of their ids at a time (a last odd one has no partner)."""
     p = predictions(spark, d).filter("hierarchy_precision is not null and hierarchy_recall is not null")
-    two = O.top_k(p.select("test_case_id", "model", "id", (F.col("hierarchy_precision") * 10).alias("x"), (F.col("hierarchy_recall") * 10).alias("y")), ["test_case_id", "model"], [F.col("id")], 2)
-    at = lambda i, c: F.max(F.when(F.col("rank") == i, F.col(c)))
-    g = two.groupBy("test_case_id", "model").agg(*(at(i, c).alias(f"{s}_{c}") for i, s in ((1, "a"), (2, "b")) for c in ("id", "x", "y"))).filter("b_id is not null")
+    rows = p.select("test_case_id", "model", "id", (F.col("hierarchy_precision") * 10).alias("x"), (F.col("hierarchy_recall") * 10).alias("y"))
+    w = Window.partitionBy("test_case_id", "model").orderBy("id")
+    after = lambda c: F.lead(c).over(w)
+    paired = rows.select(F.row_number().over(w).alias("rn"), F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), after("id").alias("b_id"), after("x").alias("b_x"), after("y").alias("b_y"))
+    g = paired.filter("rn % 2 = 1 and b_id is not null")
     return G.debiased_pairs(g, ["a_id", "b_id"], F.col("a_x"), F.col("b_x"), F.col("b_y"), F.col("a_y"))
 
 

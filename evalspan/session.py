@@ -17,7 +17,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
-        if not sc.master.startswith("local["):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="evalspan-checkpoint-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
