@@ -22,7 +22,7 @@ only, the pair of stems is an abbreviation and holds for every listed name of th
 Text in brackets may be a note, another name or a part of the name: the value is tried without it,
 with it alone, and with the brackets left out; the best score of any of them counts.
 
-Defined results for odd input: null and blank values (all kinds of white space) give no row; values
+Defined results for odd input: values that are null or blank (all kinds of white space), or of no list, give no row; values
 of any length are taken whole; a value without any letter or digit, or with an equally good second
 name, matches none (canonical ''); an empty list matches nothing; repeated values give one row each.
 """
@@ -212,6 +212,7 @@ def canonical_values(values: DataFrame, names: DataFrame, synonyms: DataFrame, r
     canonical is '' where no name fits; score is the best name's, null where none reaches ``threshold - margin``.
     """
     spark = values.sparkSession
+    values = values.filter(F.col("list").isNotNull() & F.col("value").isNotNull() & ~is_blank(F.col("value"))).select("list", "value")
     refs = cut_lineage(reference_forms(names, synonyms, rules))
     n_blocks = -(-refs.count() // BLOCK_STEMS) or 1
     block = F.pmod(F.xxhash64("list", "stem"), F.lit(n_blocks))  # a stem lies in one block
@@ -244,7 +245,7 @@ def canonical_values(values: DataFrame, names: DataFrame, synonyms: DataFrame, r
                     rows.append((name, value, [{"score": s, "canonical": c} for s, c in top]))
                 yield pd.DataFrame(rows, columns=["list", "value", "top"])
 
-        tops.append(values.select("list", "value").mapInPandas(best, "list string, value string, top array<struct<score double, canonical string>>"))
+        tops.append(values.mapInPandas(best, "list string, value string, top array<struct<score double, canonical string>>"))
     # The two best names of all blocks; a name may be among the best of several.
     top = reduce(DataFrame.unionAll, tops)
     if n_blocks > 1:

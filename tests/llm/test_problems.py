@@ -15,7 +15,7 @@ from evalspan.llm.words import words
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, SF)
     df.collect()
@@ -166,7 +166,7 @@ def test_canonical_values(spark):
 
 def test_canonical_edges(spark):
     assert mapped(spark, ["cd3"], names=(), synonyms=()) == {"cd3": ""}
-    assert mapped(spark, []) == {}
+    assert mapped(spark, []) == {} and mapped(spark, [None, "", " \u00a0\t"]) == {}
     assert mapped(spark, ["morphin"], names=("morphina", "morphinb"), synonyms=()) == {"morphin": ""}  # two equally good names
 
 
