@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,16 @@ BLIND_SCORE = 0.75
 
 def json_type(value: Column) -> Column:
     """JSON type of a variant; arrays carry the type of their elements; null and empty arrays have none."""
-    schema = F.schema_of_variant(value)
+    return type_of_schema(F.schema_of_variant(value))
+
+
+def type_of_schema(schema: Column) -> Column:
+    """The same from a variant's schema; only arrays are taken apart."""
     depth = F.length(F.regexp_extract(schema, "^((?:ARRAY<)*)", 1)) / 6
     base = F.regexp_extract(schema, r"^(?:ARRAY<)*(\w+)", 1)
-    scalar = F.when(base == "STRING", "string").when(base == "BOOLEAN", "boolean").when(base == "OBJECT", "object").when(base == "VARIANT", "mixed").otherwise("number")
-    named = F.concat(F.repeat(F.lit("array<"), depth.cast("int")), scalar, F.repeat(F.lit(">"), depth.cast("int")))
-    return F.when(base != "VOID", named)
+    scalar = lambda c: F.when(c == "STRING", "string").when(c == "BOOLEAN", "boolean").when(c == "OBJECT", "object").when(c == "VARIANT", "mixed").otherwise("number")
+    nested = F.when(base != "VOID", F.concat(F.repeat(F.lit("array<"), depth.cast("int")), scalar(base), F.repeat(F.lit(">"), depth.cast("int"))))
+    return F.when(schema.startswith("ARRAY<"), nested).when(schema.startswith("OBJECT<"), "object").when(schema != "VOID", scalar(schema))
 
 
 def fields_of(files: DataFrame, collection: str, batch: str, body: str, case_path: str, object_path: str) -> DataFrame:
@@ -55,8 +60,9 @@ def fields_of(files: DataFrame, collection: str, batch: str, body: str, case_pat
 
 def facts_of(fields: DataFrame) -> DataFrame:
     """What the report needs of every value: its type, a hash, and the value itself only where it has names within."""
-    kind = json_type(F.col("value"))
-    nested = F.when(kind.contains("object"), F.col("value"))
+    fields = fields.withColumn("__schema", F.schema_of_variant("value"))
+    kind = type_of_schema(F.col("__schema"))
+    nested = F.when(F.col("__schema").contains("OBJECT<"), F.col("value"))
     return fields.select("collection", "batch", "case_id", "field", kind.alias("kind"), F.xxhash64(F.to_json("value")).alias("hash"), nested.alias("nested"))
 
 
@@ -79,15 +85,18 @@ def transitions(schemas: DataFrame) -> DataFrame:
     return out
 
 
-def _names(schema: str) -> list[str]:
+@lru_cache(100_000)
+def _names(schema: str | None) -> list[str]:
     return re.findall(r"[<,]\s*`?(\w+)`?:", schema or "")
 
 
+@lru_cache(100_000)
 def _parts(name: str) -> list[str]:
     """Parts of a name in lower case: snake, kebab and camel case are split."""
     return [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+", name)] or [name.lower()]
 
 
+@lru_cache(100_000)
 def _grams(name: str) -> set[str]:
     s = f" {''.join(_parts(name))} "
     return {s[i : i + 3] for i in range(len(s) - 2)}
@@ -119,19 +128,23 @@ def flood(before: list, after: list, value_score: dict[tuple[str, str], float])
     na, ia, la = _graph(before)
     nb, ib, lb = _graph(after)
     start = np.zeros((len(na), len(nb)))
+    of_kind: dict[str, list[tuple[int, str]]] = {}
+    for j, (kind, name) in enumerate(nb):
+        of_kind.setdefault(kind, []).append((j, name))
     for i, (kind, name) in enumerate(na):
-        for j, (other, name_b) in enumerate(nb):
-            if kind != other:
-                continue
-            if name == name_b:
-                start[i, j] = 1
-            elif kind == "field":
-                x, y = _grams(name), _grams(name_b)
-                seen = value_score.get((name, name_b))
-                alike = len(x & y) / len(x | y)
-                start[i, j] = alike if seen is None else 0.3 * alike + 0.7 * seen
-            elif kind == "type":
-                start[i, j] = 0.2
+        if (kind, name) in ib:
+            start[i, ib[kind, name]] = 1
+        if kind in ("field", "type"):  # other kinds are alike only if they are equal
+            for j, name_b in of_kind.get(kind, ()):
+                if name == name_b:
+                    continue
+                if kind == "type":
+                    start[i, j] = 0.2
+                else:
+                    x, y = _grams(name), _grams(name_b)
+                    seen = value_score.get((name, name_b))
+                    alike = len(x & y) / len(x | y)
+                    start[i, j] = alike if seen is None else 0.3 * alike + 0.7 * seen
     pairs = []
     for label in la:  # a pair shares its score among its neighbours along equally labelled edges
         out = np.outer(la[label].sum(1), lb[label].sum(1))
