@@ -8,13 +8,15 @@ allows it, so that no cross product of two tables arises. Defined results: null
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspan.functions.columns import r6
+from evalspan.session import cut_lineage
 
 
 def compare_pairs(df: DataFrame, keys: Sequence[str], model: str, a: str, b: str, value: str) -> DataFrame:
@@ -93,25 +95,122 @@ def interval_overlap(left: DataFrame, right: DataFrame, lo: str, hi: str, cell:
     return j.withColumn("fraction", r6((end - begin) / (F.col(hi) - F.col(lo)))).drop("__cell", "__rcell")
 
 
+#: Buckets that elements of sets are hashed to; elements of sets that a task holds at once, and children that meet them (or a thousandth of all, if that is more).
+ELEMENT_BUCKETS, ELEMENTS_AT_ONCE, CHILDREN_AT_ONCE = 1024, 500_000, 20_000
+#: Sets that are compared one by one rather than told apart by a further element.
+_LEAF = 16
+
+
+def _trie(sets: list[tuple]) -> list:
+    """Nodes (size of the largest set, set that ends here, nodes by next element, sets by falling size) of (elements, first, second)."""
+    root: list = []
+    todo = [(root, sets, 0)]
+    while todo:
+        node, own, depth = todo.pop()
+        node.append(max(len(x[0]) for x in own))
+        if len(own) <= _LEAF:
+            node += [None, None, sorted(own, key=lambda x: -len(x[0]))]
+            continue
+        end, inner = None, {}
+        for x in own:
+            if len(x[0]) == depth:
+                end = x
+            else:
+                inner.setdefault(x[0][depth], []).append(x)
+        nodes: dict = {e: [] for e in inner}
+        node += [end, nodes, None]
+        todo += [(nodes[e], part, depth + 1) for e, part in inner.items()]
+    return root
+
+
+def _largest_within(root: list, have: set, size: int, child: object) -> tuple[int, object]:
+    """Size and name of the largest set of a trie that ``have`` holds, of fewer than ``size`` elements and not named ``child``."""
+    best, name, todo = 0, None, [root]
+    while todo:
+        most, end, inner, leaf = todo.pop()
+        if most < best:
+            continue
+        for elements, first, second in leaf if inner is None else [end] if end else ():
+            n = len(elements)
+            if n < best:
+                break
+            if n < size and have.issuperset(elements):
+                own = first if first != child else second
+                if own is not None and (n > best or own < name):
+                    best, name = n, own
+        if inner is not None:
+            todo += [node for e, node in inner.items() if e in have] if len(inner) <= len(have) else [inner[e] for e in have if e in inner]
+    return best, name
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of part, sets before children: the largest proper subset of each child in its part."""
+    part, sets, root, shared = None, [], None, {}
+    for b in batches:
+        found: tuple[list, list, list] = ([], [], [])
+        for p, is_child, child, size, elements, first, second in zip(*(c.to_pylist() for c in b.columns)):
+            if p != part:
+                part, sets, root, shared = p, [], None, {}
+            if not is_child:
+                sets.append((tuple(shared.setdefault(e, e) for e in elements), first, second))
+                continue
+            if root is None:
+                if not sets:
+                    continue
+                root = _trie(sets)
+            n, name = _largest_within(root, set(elements), size, child)
+            if n:
+                for column, v in zip(found, (child, n, name)):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], b.schema.field("child").type), pa.array(found[1], pa.int32()), pa.array(found[2], b.schema.field("first").type)], ["child", "n", "parent"])
+
+
 def most_specific_container(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Largest proper subset among the parents' sets for every child: child, parent.
 
-    children (child, elements), parents (parent, elements): a set is contained only if its rarest element is
-    (the one in the fewest parents' sets, the least of equals), so every parent is looked up by that element alone and
-    the rest is verified on the arrays; an element that all sets have is nobody's way in unless it's all a set has.
-    Equal sets among the parents are looked up once. Equal sizes fall to the least name; empty sets are nobody's parent.
+    children (child, elements), parents (parent, elements): the elements of all sets are brought in one order, the rarest
+    first (rarity is counted by buckets of elements, in distinct sets of parents). A set is contained only if its rarest
+    element is, so it waits at the bucket of that element alone, and a child calls at the buckets of all its elements with
+    those that follow. There the sets are a trie in that order, of which a child walks only the branches that it has;
+    an element that all sets have is nobody's way in unless it's all a set has. What a task holds is bounded: buckets
+    with many sets or children are divided. Equal sets among the parents are looked up once. Equal sizes fall to the
+    least name; empty sets are nobody's parent.
     """
-    sets = parents.select("parent", F.array_sort(F.array_distinct("elements")).alias("pe")).filter(F.size("pe") > 0)
-    distinct = sets.groupBy("pe").agg(F.min("parent").alias("first"))
-    other = sets.join(distinct, "pe").filter(F.col("parent") != F.col("first")).groupBy("pe").agg(F.min("parent").alias("second"))
-    rarity = distinct.select(F.explode("pe").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    rarest = distinct.select("pe", F.explode("pe").alias("x")).join(rarity, "x").groupBy("pe").agg(F.min(F.struct("df", "x")).alias("r")).select("pe", F.col("r.x").alias("x"))
-    p = distinct.join(rarest, "pe").join(other, "pe", "left")
-    c = children.select("child", F.array_distinct("elements").alias("ce"))
-    met = c.select("child", "ce", F.explode("ce").alias("x")).join(p, "x").filter((F.size("pe") < F.size("ce")) & (F.size(F.array_except("pe", "ce")) == 0))
-    # A child is no parent of its own, under whatever set its name occurs.
-    name = F.when(F.col("first") != F.col("child"), F.col("first")).otherwise(F.col("second"))
-    best = met.withColumn("parent", name).filter("parent is not null").groupBy("child").agg(F.min_by("parent", F.struct(-F.size("pe"), F.col("parent"))).alias("parent"))
+    sets = parents.filter("parent is not null").select("parent", F.array_sort(F.array_distinct("elements")).alias("pe")).filter(F.size("pe") > 0)
+    # A child is no parent of its own, under whatever set its name occurs: the two least names of a set will do.
+    names = sets.withColumn("n", F.dense_rank().over(Window.partitionBy("pe").orderBy("parent"))).filter("n <= 2")
+    distinct = cut_lineage(names.groupBy("pe").agg(F.min("parent").alias("first"), F.max(F.when(F.col("n") == 2, F.col("parent"))).alias("second")))
+    calls = children.filter("child is not null").select("child", F.array_distinct("elements").alias("e")).filter(F.size("e") > 0)
+
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(ELEMENT_BUCKETS)).cast("int")
+    at = lambda values, h: F.element_at(F.array(*map(F.lit, values)), h + 1)
+
+    def sums(rows: DataFrame, h: Column, value: Column) -> list[int]:
+        out = [0] * ELEMENT_BUCKETS
+        for r in rows.select(h.alias("h"), value.alias("v")).groupBy("h").agg(F.sum("v").alias("v")).collect():
+            out[r["h"]] = r["v"]
+        return out
+
+    rarity = sums(distinct.select(F.explode("pe").alias("x")), bucket(F.col("x")), F.lit(1).cast("bigint"))
+    # Nulls come last: they are nobody's way in.
+    ranked = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(F.when(x.isNull(), F.lit(1 << 62)).otherwise(at(rarity, bucket(x)).cast("bigint")).alias("c"), bucket(x).alias("h"), x.alias("x"))))
+    p = distinct.select("pe", "first", "second", ranked("pe").alias("o")).filter(F.col("o")[0]["x"].isNotNull()).withColumn("h", F.col("o")[0]["h"])
+    begins = F.filter(F.sequence(F.lit(1), F.size("o")), lambda i: F.element_at("o", i)["x"].isNotNull() & ((i == 1) | (F.element_at("o", i)["h"] != F.element_at("o", F.greatest(i - 1, F.lit(1)))["h"])))
+    c = calls.select("child", ranked("e").alias("o")).select("child", "o", F.explode(begins).alias("i")).withColumn("h", F.element_at("o", F.col("i"))["h"])
+    waiting, calling = sums(p, F.col("h"), F.size("pe").cast("bigint")), sums(c, F.col("h"), F.lit(1).cast("bigint"))
+    least = max(CHILDREN_AT_ONCE, sum(calling) // 1000)
+    blocks, shares = [-(-n // ELEMENTS_AT_ONCE) for n in waiting], [max(1, -(-n // least)) for n in calling]
+
+    h = F.col("h")
+    part = lambda block, share: (h.cast("bigint") + ELEMENT_BUCKETS * (block.cast("bigint") + (1 << 21) * share.cast("bigint"))).alias("part")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    kinds = {"child": dict(children.dtypes)["child"], "parent": dict(parents.dtypes)["parent"]}
+    some, other = F.lit(None).cast(kinds["child"]), F.lit(None).cast(kinds["parent"])
+    elements = lambda o: F.transform(o, lambda x: x["x"]).alias("elements")
+    held = p.select("*", upto(at(shares, h)).alias("share")).select(part(F.pmod(F.xxhash64("pe"), at(blocks, h)), F.col("share")), F.lit(False).alias("is_child"), some.alias("child"), F.size("pe").alias("size"), elements(F.col("o")), "first", "second")
+    sent = c.filter(at(blocks, h) > 0).select("*", upto(at(blocks, h)).alias("block")).select(part(F.col("block"), F.pmod(F.xxhash64("child"), at(shares, h))), F.lit(True).alias("is_child"), "child", F.size("o").alias("size"), elements(F.slice("o", F.col("i"), F.size("o"))), other.alias("first"), other.alias("second"))
+    met = held.unionAll(sent).repartition("part").sortWithinPartitions("part", "is_child").mapInArrow(_meet, f"child {kinds['child']}, n int, parent {kinds['parent']}")
+    best = met.groupBy("child").agg(F.min_by("parent", F.struct(-F.col("n"), F.col("parent"))).alias("parent"))
     return children.select("child").join(best, "child", "left")
 
 

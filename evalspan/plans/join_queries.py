@@ -10,6 +10,7 @@ from evalspan.operators import joins as J
 from evalspan.operators import ordered as O
 from evalspan.operators import pareto as R
 from evalspan.plans.aggregate_queries import CONTEXTS, MODELS, P, predictions
+from evalspan.session import cut_lineage
 from evalspan.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -149,6 +150,7 @@ _PC = "(SELECT upper(replace(test_case_id, '_', '-')) AS k, list_sort(list_disti
 def marker_set_parents(spark, d):
     p = table(spark, d, "panel").groupBy(F.upper(F.translate("test_case_id", "_", "-")).alias("child")).agg(F.max_by("entries", F.struct("revision", "updated_at")).alias("e"))
     sets = p.select("child", F.array_distinct(F.transform(F.filter("e", lambda x: x["marker"].isNotNull()), lambda x: F.lower(F.trim(x["marker"])))).alias("elements"))
+    sets = cut_lineage(sets)
     return J.most_specific_container(sets, sets.withColumnRenamed("child", "parent"))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import statistics as st
 
 import numpy as np
@@ -156,6 +157,40 @@ def test_theta_joins(spark):
     assert got == {"p": None, "q": "p", "r": "q", "e": None}
 
 
+def test_containers_are_found_in_divided_buckets(spark, monkeypatch):
+    """Largest proper subset by brute force, where buckets of elements are shared, and split by sets and by children."""
+    for name, n in (("ELEMENT_BUCKETS", 5), ("ELEMENTS_AT_ONCE", 20), ("CHILDREN_AT_ONCE", 7)):
+        monkeypatch.setattr(joins, name, n)
+    draw = random.Random(5)
+    some = lambda n: [(draw.choice([None, *(f"n{i}" for i in range(60))]), draw.choices(["a", "b", "c", "d", "e", "f", "é", None], k=draw.randint(0, 6))) for _ in range(n)]
+    children, parents = dict(some(120)), some(150)
+    want = {}
+    for child, e in children.items():
+        inside = [(-len(set(f)), name) for name, f in parents if None not in (child, name) and name != child and set(f) < set(e) and set(f) - {None}]
+        want[child] = min(inside)[1] if inside else None
+    df = joins.most_specific_container(spark.createDataFrame(list(children.items()), "child string, elements array<string>"), spark.createDataFrame(parents, "parent string, elements array<string>"))
+    assert {r.child: r.parent for r in df.collect()} == want and len(set(want.values())) > 5
+    # Sets that share their rarest element aren't tried one by one on every child that has it.
+    assert "array_except" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_children_walk_only_branches_that_they_have():
+    class Counted(set):
+        tried = 0
+
+        def issuperset(self, other):
+            Counted.tried += 1
+            return super().issuperset(other)
+
+    draw = random.Random(7)
+    sets = {tuple(sorted(draw.sample(range(100), draw.randint(2, 14)))) for _ in range(4000)}
+    root = joins._trie([(x, str(x), None) for x in sets])
+    for child in draw.sample(sorted(sets), 150):
+        n, name = joins._largest_within(root, Counted(child), len(child), "")
+        assert (-n, name) == min([(-len(x), str(x)) for x in sets if set(x) < set(child)], default=(0, None))
+    assert Counted.tried < 150 * len(sets) / 20
+
+
 def test_cosine_neighbours(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(60, 5))
